@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflock.llm import packing, ts_media
+from meshflock.llm import packing, pii, ts_media, url_filters
 from meshflock.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, pieces.count())
 
 
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.RULES).drop("url")
+
+
+ORACLES["op2_url_filters"] = url_filters.ORACLE
+
+
 @query
 def op7_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), ts_media.padded().alias("payload"))
@@ -46,3 +54,8 @@ def op7_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("pts="), F.concat_ws(",", F.transform("access_points", lambda p: p["pts"].cast("string"))))).alias("feature"),
         "access_points",
     )
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "masked")
