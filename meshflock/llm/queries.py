@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflock.llm import packing, pii, ts_media, url_filters
+from meshflock.llm import lang_id, packing, pii, quality, toxicity, ts_media, url_filters
+from meshflock.llm.sampling import held_out, in_training
 from meshflock.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +44,29 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_url_filters"] = url_filters.ORACLE
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    voted = materialize(quality.with_votes(quality.signals(docs).drop("text")), "quality")
+    model = quality.fit(materialize(quality.patterns(voted), "patterns"))
+    return quality.judged(voted, model).select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(in_training()).select("doc_id", "lang", "text"))
+    return lang_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(in_training()).select("doc_id", "toxic")
+    model = toxicity.train(docs.where(in_training()).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), ts_media.padded().alias("payload"))
