@@ -5,7 +5,8 @@ Rules (``RULES``) turn signals into votes: 1 (good), -1 (bad) or 0 (abstains). E
 maximisation over the table of vote patterns - its size is bounded by the number of rules,
 not by the data - estimates how accurate the good and the bad votes of each rule are, and
 the share of good documents; a document is kept if its posterior
-probability of being good is at least ``threshold``.
+probability of being good is at least ``threshold``. The base rules have decided some
+documents already (too short, or mostly repeats); the model is fitted on all the others.
 
 Words are runs of characters other than space and U+0009 to U+000D. A window is told apart
 by a 64-bit hash of its words. Null texts have no words. Rows are judged one by one:
@@ -24,8 +25,8 @@ SPACE = "[ \\x09-\\x0D]+"
 WORD = "[^ \\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper", "n_marks", "n_distinct", "closed")
-RULES = ("symbols", "lines", "windows", "capitals", "marks", "variety", "length", "ending")
+EXTRA = ("n_lines", "n_upper", "n_marks", "n_glued", "n_distinct", "closed")
+RULES = ("symbols", "glued", "lines", "windows", "capitals", "marks", "variety", "length", "ending")
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -53,6 +54,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.regexp_count(t, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(t, F.lit("[!?]")).cast("long").alias("n_marks"),
+        F.regexp_count(t, F.lit("[^ \\x09-\\x0D#*$%&|<>][#*$%&|<>]")).cast("long").alias("n_glued"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
         t.rlike("[.!?\"'’”»)][ \\x09-\\x0D]*\\z").alias("closed"),
     )
@@ -72,6 +74,7 @@ def votes() -> list[Column]:
     never = F.lit(False)
     return [  # who looks for a defect abstains where there is none
         vote(5 * F.col("n_symbols") > n, never),
+        vote(5 * F.col("n_glued") > n, never),
         vote(2 * F.col("n_dup_lines") > F.col("n_lines"), never),
         vote(100 * F.col("n_repeat_words") > 30 * n, never),
         vote(10 * F.col("n_upper") > 4 * chars, never),
@@ -86,8 +89,11 @@ def with_votes(df: DataFrame) -> DataFrame:
     return df.withColumns({f"_v_{r}": v.cast("tinyint") for r, v in zip(RULES, votes(), strict=True)})
 
 
-#: Chances of a good and a bad vote before any data: on good documents, on bad documents.
-START = ((0.6, 0.02), (0.5, 0.4))
+#: Chances of a good and a bad vote before any data, on good and on bad documents: of rules
+#: that only look for a defect, and of the others.
+DEFECT = ((0.001, 0.002), (0.001, 0.4))
+EITHER = ((0.7, 0.02), (0.5, 0.2))
+START = (DEFECT,) * 6 + (EITHER,) * 3
 
 
 class Model:
@@ -96,7 +102,7 @@ class Model:
 
     def __init__(self, prior: float = 0.8, chances: list | None = None):
         self.prior = prior
-        self.chances = chances or [START] * len(RULES)
+        self.chances = chances or list(START)
 
     def accuracies(self) -> list[tuple[float, float]]:
         """For each rule, how often its good votes and its bad votes are right."""
@@ -104,11 +110,11 @@ class Model:
         return [(p * g[0] / (p * g[0] + (1 - p) * b[0]), (1 - p) * b[1] / (p * g[1] + (1 - p) * b[1])) for g, b in self.chances]
 
     def posterior(self) -> Column:
-        """By the odds of the right answers of all rules that vote; who abstains has no say."""
+        """By the odds of each rule's vote, or of its abstaining, on good and bad documents."""
         z = F.lit(math.log(self.prior / (1 - self.prior)))
         for r, (g, b) in zip(RULES, self.chances, strict=True):
             v = F.col(f"_v_{r}")
-            z = z + F.when(v > 0, math.log(g[0] / b[0])).when(v < 0, math.log(g[1] / b[1])).otherwise(0.0)
+            z = z + F.when(v > 0, math.log(g[0] / b[0])).when(v < 0, math.log(g[1] / b[1])).otherwise(math.log((1 - g[0] - g[1]) / (1 - b[0] - b[1])))
         return 1 / (1 + F.exp(-z))
 
 
@@ -128,14 +134,15 @@ def fit(patterns: DataFrame, rounds: int = 12) -> Model:
         n = {"g": row["good"] or 0.0, "b": row["bad"] or 0.0}
 
         def chance(c: str, k: int) -> tuple[float, float]:
-            return tuple(((row[f"{c}{k}{s}"] or 0.0) + 10 * START[c == "b"][i]) / (n[c] + 10) for i, s in enumerate("pm"))  # noqa: B023
+            return tuple(((row[f"{c}{k}{s}"] or 0.0) + 10 * START[k][c == "b"][i]) / (n[c] + 10) for i, s in enumerate("pm"))  # noqa: B023
 
         model = Model((n["g"] + 8) / (n["g"] + n["b"] + 10), [(chance("g", k), chance("b", k)) for k in range(len(RULES))])
     return model
 
 
 def patterns(voted: DataFrame) -> DataFrame:
-    return voted.groupBy(*[f"_v_{r}" for r in RULES]).agg(F.count("*").alias("n"))
+    """Vote patterns of all documents that the base rules leave open."""
+    return voted.where(~base_failed()).groupBy(*[f"_v_{r}" for r in RULES]).agg(F.count("*").alias("n"))
 
 
 def judged(voted: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -31,12 +31,12 @@ def test_signals(spark):
 
 
 def test_em_finds_the_bad_rule(spark):
-    """Seven rules agree, one votes against them: it is found out."""
-    rows = [(*([1] * 7), -1, 80), (*([-1] * 7), 1, 20), (*([1] * 6), 0, -1, 5)]
+    """Eight rules agree, one votes against them: it is found out."""
+    rows = [(*([0] * 6), 1, 1, -1, 80), (*([-1] * 6), -1, -1, 1, 20), (*([0] * 6), 1, 0, -1, 5)]
     df = spark.createDataFrame(rows, ", ".join([*(f"_v_{r} int" for r in q.RULES), "n long"]))
     m = q.fit(df)
     acc = m.accuracies()
-    assert 0.7 < m.prior < 0.9 and acc[0][0] > 0.9 and acc[0][1] > 0.9 and acc[7][1] < 0.2
+    assert 0.7 < m.prior < 0.9 and acc[6][0] > 0.9 and acc[0][1] > 0.9 and acc[8][1] < 0.2
     post = [r.p for r in df.select(m.posterior().alias("p")).collect()]
     assert post[0] > 0.99 and post[1] < 0.01
 
