@@ -63,7 +63,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(in_training()).select("doc_id", "toxic")
-    model = toxicity.train(docs.where(in_training()).join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

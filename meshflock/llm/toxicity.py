@@ -71,14 +71,14 @@ def counterfactuals(text: str) -> list[tuple[list[int], list[int]]]:
     return out
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int]]], keep: int = 4000, ridge: float = 1.0, fairness: float = 10.0, rounds: int = 60) -> tuple[dict[int, float], float]:
-    """Weights by hashed feature, and the intercept."""
+def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int]]], keep: int = 4000, ridge: float = 1.0, fairness: float = 10.0, rounds: int = 60) -> tuple[dict[int, float], float]:
+    """Weights by hashed feature, and the intercept. ``flat`` has the features of all rows in
+    turn, ``lengths`` their numbers."""
     total = max(weights.sum(), 1e-9)
     rate = float((weights * labels).sum() / total)
     if not 0 < rate < 1:
         return {}, 12.0 if rate >= 1 else -12.0
-    flat = np.concatenate([np.array(r, np.int64) for r in rows] + [np.zeros(0, np.int64)])
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.repeat(np.arange(len(lengths)), lengths)
     ids, col = np.unique(flat, return_inverse=True)
     pos = np.bincount(col, labels[at], len(ids))
     seen = np.bincount(col, minlength=len(ids)).astype(float)
@@ -98,7 +98,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs: l
     # per-coordinate scaled gradient steps (Adam), fixed number, no randomness
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, 10 * rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(rows)) + b)))
+        p = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(lengths)) + b)))
         err = weights * (p - labels)
         g = np.bincount(col, err[row], len(w)) + ridge * w
         if len(pr):
@@ -113,10 +113,15 @@ def fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs: l
     return {f: float(w[k]) for f, k in index.items()}, float(b)
 
 
-def train(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", each: int = 4000, **options) -> tuple[dict[int, float], float]:
-    """Fit on rows with a 0/1 label and a text (columns key, label, text)."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label), "text")
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", each: int = 3000, **options) -> tuple[dict[int, float], float]:
+    """Fit on texts of ``docs`` (columns key, text) with a 0/1 label in ``labels`` (key, label).
+
+    The sample is taken from the labels alone. It holds at most ``3 * each`` keys, so it is
+    broadcast to the texts, which are not shuffled."""
+    rows = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
     sample, shares = per_class(rows, label, each, key)
+    sample = sample.orderBy(F.xxhash64(F.lit("bound"), key), label).limit(3 * each)
+    sample = docs.select(key, "text").join(F.broadcast(sample), key).select(key, label, "text")
 
     def run(batches):
         for b in batches:
@@ -128,12 +133,16 @@ def train(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", each:
             )
 
     got = sample.mapInArrow(run, "k string, label int, found array<long>, pairs array<struct<add:array<long>,gone:array<long>>>").toArrow()
-    got = sorted(got.to_pylist(), key=lambda r: (r["k"] or "", r["found"]))
-    labels = np.array([r["label"] for r in got], float)
-    weights = np.array([1 / shares[r["label"]] for r in got])
+    got = got.sort_by([("k", "ascending"), ("label", "ascending")]).combine_chunks()
+    labels = got.column("label").to_numpy().astype(float)
+    weights = np.array([1 / shares[int(x)] for x in labels])
     if len(weights):
         weights *= len(weights) / weights.sum()
-    return fit([r["found"] for r in got], labels, weights, [(p["add"], p["gone"]) for r in got for p in r["pairs"]], **options)
+    found = got.column("found").combine_chunks()
+    flat = found.flatten().to_numpy(zero_copy_only=False)
+    lengths = found.value_lengths().to_numpy(zero_copy_only=False)
+    pairs = [(p["add"], p["gone"]) for row in got.column("pairs").to_pylist() for p in row]
+    return fit(flat, lengths, labels, weights, pairs, **options)
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "text", remember: int = 500_000) -> DataFrame:
