@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflock.llm import lang_id, near_dup, packing, pii, quality, toxicity, ts_media, url_filters
+from meshflock.llm import lang_id, near_dup, packing, pii, quality, suffix_dedup, toxicity, ts_media, url_filters
 from meshflock.llm.sampling import held_out, in_training
 from meshflock.runtime import materialize
 
@@ -80,6 +80,11 @@ def op7_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "masked")
