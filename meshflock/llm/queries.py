@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshflock.llm import lang_id, near_dup, packing, pii, quality, suffix_dedup, toxicity, ts_media, url_filters
+from meshflock.llm import lang_id, mixing, near_dup, packing, pii, quality, suffix_dedup, toxicity, ts_media, url_filters
 from meshflock.llm.sampling import held_out, in_training
 from meshflock.runtime import materialize
 
@@ -52,6 +52,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(voted, model).select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
 
 
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = mixing.domain_labels(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, mixing.TARGETS, mixing.BUDGET)
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
