@@ -1,6 +1 @@
 """Operators for training-data preparation. Nothing else in the library imports this package."""
-
-import meshflock.runtime
-from meshflock.runtime import ship_by_value
-
-ship_by_value(__name__)
