@@ -1,21 +1,13 @@
-"""Session helpers: the shared work folder, written intermediate tables, worker code."""
+"""Session helpers: the shared work folder and written intermediate tables."""
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ship_by_value(module_name: str) -> None:
-    """Send the functions of a package to Python workers inside the task, so that
-    executors need no copy of the package on their path."""
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
