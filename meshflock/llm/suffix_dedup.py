@@ -37,8 +37,9 @@ LENGTH = 50
 TOKEN = 20
 SPAN = LENGTH - TOKEN  # windows may start up to this far before their anchor
 SEGMENT = 1 << 18
-FLUSH = 1_500_000
-BUCKET_BYTES = 24 << 20
+FLUSH = 400_000
+BUCKET_BYTES = 8 << 20
+SORT_ROWS = 30_000
 _rng = np.random.Generator(np.random.PCG64(81))
 BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -165,6 +166,7 @@ def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
     def flush(held, ids):
         token, text, ordinal = (np.concatenate([h[k] for h in held]) for k in range(3))
         doc = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+        held.clear()
         ids = np.array(ids, np.int64)
         rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # documents by id
         same = np.unique(ids)
@@ -336,27 +338,27 @@ def suffix_sort(suffixes: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(ordinal[hit].astype(np.int32)), pa.array(mask[hit])], names=["doc_id", "ordinal", "mask"])
 
     def run(batches):
-        """Sorted rows arrive in batches; a batch is closed at a change of the token."""
-        held, n, last = [], 0, None
+        """Sorted rows arrive in batches; what is held is closed only where a new token begins."""
+        held: list = []
+        n, last = 0, None
+
+        def hold(p):
+            around = np.frombuffer(b"".join(p.column(5).to_pylist()), np.uint8).reshape(p.num_rows, -1)
+            held.append((*(p.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4)), around))
+
         for b in batches:
-            if not b.num_rows:
-                continue
             token = b.column(0).to_pylist()
-            at = 0
-            if n >= 60_000:
-                while at < len(token) and token[at] == last:
-                    at += 1
-            pieces = [b.slice(0, at), b.slice(at)] if at or n >= 60_000 else [b]
-            for k, p in enumerate(pieces):
-                if k or len(pieces) == 1 and n >= 60_000:
-                    if n >= 60_000:
-                        yield solve(held)
-                        held, n = [], 0
-                if p.num_rows:
-                    around = np.frombuffer(b"".join(p.column(5).to_pylist()), np.uint8).reshape(p.num_rows, -1)
-                    held.append((*(p.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4)), around))
-                    n += p.num_rows
-                    last = token[-1]
+            if n >= SORT_ROWS:
+                at = next((k for k, t in enumerate(token) if t != last), None)
+                if at is not None:
+                    if at:
+                        hold(b.slice(0, at))
+                    yield solve(held)
+                    held.clear()
+                    n, b = 0, b.slice(at)
+            if b.num_rows:
+                hold(b)
+                n, last = n + b.num_rows, token[-1]
         if n:
             yield solve(held)
 

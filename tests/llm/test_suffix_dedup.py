@@ -55,6 +55,7 @@ def test_overlapping_copies(spark, monkeypatch):
     monkeypatch.setattr(sd, "SEGMENT", 64)  # long texts in parts
     monkeypatch.setattr(sd, "_POW", {})
     monkeypatch.setattr(sd, "FLUSH", 40)
+    monkeypatch.setattr(sd, "SORT_ROWS", 3)
     check(rows, sd.dedup(df).collect())
     assert sd.dedup(df.limit(0)).count() == 0
 
