@@ -442,7 +442,7 @@ def connectivity(retained: DataFrame, members: DataFrame, most: int = 256) -> Da
         u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
         ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         b, c = cut_parts(len(ids), at[: len(u)].tolist(), at[len(u) :].tolist())
-        return pa.table({"cluster_id": [table.column("cluster_id")[0].as_py()], "n": [table.column("n")[0].as_py()], "bridges": [len(b)], "articulations": [len(c)]})
+        return pa.table({"cluster_id": table.column("cluster_id").slice(0, 1), "n": [table.column("n")[0].as_py()], "bridges": [len(b)], "articulations": [len(c)]})
 
     return e.groupBy("cluster_id").applyInArrow(run, "cluster_id int, n long, bridges long, articulations long")
 
