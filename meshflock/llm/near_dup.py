@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshflock.llm.components import components
+from meshflock.plans.components import star_components as components
 from meshflock.runtime import materialize
 
 N_COORD = 128
