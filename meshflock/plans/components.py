@@ -19,6 +19,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.where("v <= u") if small else both
     least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = materialize(least, "least")  # both sides of the join are plain exchanges: a hub's rows can be split
     hit = near.join(least, near.u == least.w)
     if small:
         out = hit.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
