@@ -41,7 +41,7 @@ N_COORD = 128
 WORDS = 5
 CHUNK = 1 << 20
 SPACE = re.compile(rb"[ \t-\r]")
-BLOCK = 1024
+BLOCK = 128
 _rng = np.random.Generator(np.random.PCG64(20240))
 MULT = _rng.integers(1, 1 << 63, N_COORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, N_COORD, dtype=np.uint64)
@@ -133,7 +133,8 @@ def post(sketches: DataFrame, prefix: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets are similar enough."""
     wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    # written, so that both sides of the joins below are plain exchanges: AQE splits the rows of a hot leader
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts")
     one, two = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
 
     def run(batches):
@@ -220,7 +221,7 @@ def group(docs: DataFrame, percent: int = 85, turns: int = 2) -> DataFrame:
     ``docs`` is read several times (columns doc_id and text)."""
     sketches = materialize(sketch(docs), "sketches")
     full = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     reps = materialize(full.join(classes, "digest").where("doc_id = class_id").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id", "sig"]), "reps")
     least = least_matches(percent)
     prefix = N_COORD - least + 1
