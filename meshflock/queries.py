@@ -437,3 +437,51 @@ def dbscan_incremental_fast(spark, d):
 def delaunay_events(spark, d):
     """The Delaunay graph of all events, in tiles where there are many."""
     return rounded(spatial.delaunay(V(spark, d)), "length")
+
+
+# ---- evaluation tables -----------------------------------------------------------------
+
+
+@query(f"WITH {PTS}, d AS (SELECT a.id, a.label AS la, b.label AS lb, avg(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS m FROM pts a JOIN pts b ON a.id <> b.id GROUP BY a.id, a.label, b.label), s AS (SELECT id, max(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la <> lb THEN m END) AS b FROM d GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 9) AS silhouette FROM s")
+def silhouette(spark, d):
+    """Every point against every point: quadratic by its definition, for tables of results."""
+    p = E(spark, d)
+    o = p.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("label").alias("ol"))
+    m = p.join(o, F.col("id") != F.col("o")).groupBy("id", "label", "ol").agg(F.avg(spatial.distance("x", "y", "ox", "oy")).alias("m"))
+    s = m.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("ol"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("ol"), F.col("m"))).alias("b"))
+    return rounded(s.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette")), "silhouette")
+
+
+def means(spark, d) -> DataFrame:
+    return V(spark, d).groupBy("track", "op").agg(F.round(F.avg("y"), 9).alias("score"))
+
+
+MEANS = f"{EVT}, means AS (SELECT track, op, round(avg(y), 9) AS score FROM evt GROUP BY track, op)"
+
+
+@query(f"WITH {MEANS} SELECT track, op, score FROM (SELECT *, max(score) OVER (PARTITION BY track) AS best FROM means) WHERE score >= best - 1e-12")
+def group_winners(spark, d):
+    best = F.max("score").over(W.partitionBy("track"))
+    return means(spark, d).withColumn("best", best).where(F.col("score") >= F.col("best") - 1e-12).drop("best")
+
+
+PAIRED = f"{MEANS}, prs AS (SELECT a.track, a.score AS a, b.score AS b, round(a.score - b.score, 9) AS diff FROM means a JOIN means b USING (track) WHERE a.op = 'insert' AND b.op = 'move')"
+
+
+def paired(spark, d) -> DataFrame:
+    p = means(spark, d).groupBy("track").pivot("op", ["insert", "move"]).agg(F.first("score")).dropna()
+    return p.select("track", F.col("insert").alias("a"), F.col("move").alias("b"), F.round(F.col("insert") - F.col("move"), 9).alias("diff"))
+
+
+@query(f"WITH {PAIRED} SELECT track, a, b, diff FROM prs")
+def paired_scores(spark, d):
+    return paired(spark, d)
+
+
+@query(f"WITH {PAIRED}, r AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2.0 AS r FROM prs WHERE diff <> 0) SELECT count(*) AS n, round(sum(CASE WHEN diff > 0 THEN r ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN diff < 0 THEN r ELSE 0 END), 6) AS w_minus FROM r")
+def wilcoxon_ranks(spark, d):
+    """Signed-rank sums of the pairs; ties share their mean rank. One row per pair is ranked."""
+    p = paired(spark, d).where("diff <> 0").withColumn("size", F.abs("diff"))
+    r = F.rank().over(W.orderBy("size")) + (F.count("*").over(W.partitionBy("size")) - 1) / 2.0
+    p = p.withColumn("r", r)
+    return p.agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum(F.when(F.col("diff") > 0, F.col("r"))), F.lit(0.0)), 6).alias("w_plus"), F.round(F.coalesce(F.sum(F.when(F.col("diff") < 0, F.col("r"))), F.lit(0.0)), 6).alias("w_minus"))

@@ -41,3 +41,44 @@ def chain_noise(seed: int):
 
 
 FAMILIES = {"spiral": spiral, "varying_density": varying_density, "touching": touching, "chain_noise": chain_noise}
+
+
+def moons(seed: int, n: int = 1200, noise: float = 0.07):
+    """Two half circles that reach into each other."""
+    rng = np.random.default_rng(seed)
+    t = np.linspace(0, np.pi, n // 2)
+    p = np.vstack([np.c_[np.cos(t), np.sin(t)], np.c_[1 - np.cos(t), 0.5 - np.sin(t)]])
+    return standardize(p + rng.normal(0, noise, p.shape)), np.repeat([0.0, 1.0], n // 2)
+
+
+def circles(seed: int, n: int = 1200, noise: float = 0.04, factor: float = 0.42):
+    """A circle within a circle."""
+    rng = np.random.default_rng(seed)
+    t = np.linspace(0, 2 * np.pi, n // 2, endpoint=False)
+    ring = np.c_[np.cos(t), np.sin(t)]
+    p = np.vstack([ring, factor * ring])
+    return standardize(p + rng.normal(0, noise, p.shape)), np.repeat([0.0, 1.0], n // 2)
+
+
+def anisotropic(seed: int, n: int = 1500):
+    """Three sheared clouds."""
+    p, k = _clouds(np.random.default_rng(seed), [([-6.0, -4.0], 1.0, n // 3, 0), ([0.0, 3.0], 1.0, n // 3, 1), ([6.0, -2.0], 1.0, n // 3, 2)])
+    return standardize(np.vstack(p) @ np.array([[0.6, -0.6], [-0.4, 0.8]])), np.concatenate(k)
+
+
+def uniform_noise(seed: int, n: int = 1200, extra: int = 250):
+    """Four clouds among evenly spread points."""
+    rng = np.random.default_rng(seed)
+    p, k = _clouds(rng, [([x, y], 0.5, n // 4, i) for i, (x, y) in enumerate([(-4, -4), (-4, 4), (4, -4), (4, 4)])])
+    return standardize(np.vstack([*p, rng.uniform(-7, 7, (extra, 2))])), np.concatenate([*k, np.full(extra, -1.0)])
+
+
+MORE_FAMILIES = {"moons": moons, "circles": circles, "anisotropic": anisotropic, "uniform_noise": uniform_noise}
+
+
+def resized(p: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``n`` rows: fewer are drawn without replacement, more with, moved by a hundredth of the spread."""
+    rng = np.random.default_rng(seed)
+    if n <= len(p):
+        return p[rng.choice(len(p), n, replace=False)]
+    return p[rng.choice(len(p), n)] + rng.normal(0, 0.01, (n, p.shape[1])) * p.std(axis=0)
