@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules reject go."""
     voted = quality.with_votes(quality.signals(docs))
     model = quality.fit(materialize(quality.patterns(voted), "patterns"))
-    return quality.judged(voted, model).where("kept").select(*docs.columns)
+    return quality.judged(voted, model).where(F.col("kept") & quality.computed()).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

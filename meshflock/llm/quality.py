@@ -25,7 +25,7 @@ SPACE = "[ \\x09-\\x0D]+"
 WORD = "[^ \\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper", "n_marks", "n_glued", "n_distinct", "closed")
+EXTRA = ("n_lines", "n_upper", "n_marks", "n_glued", "n_distinct", "closed", "_row")
 RULES = ("symbols", "glued", "lines", "windows", "capitals", "marks", "variety", "length", "ending")
 
 
@@ -57,9 +57,17 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit("[^ \\x09-\\x0D#*$%&|<>][#*$%&|<>]")).cast("long").alias("n_glued"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
         t.rlike("[.!?\"'’”»)][ \\x09-\\x0D]*\\z").alias("closed"),
+        # not deterministic: a filter that uses it stays above this projection. Pushed below, it would
+        # put the sort of all windows into the function that is called for each of them.
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
+def computed() -> Column:
+    """True; for filters on signals, which must not be evaluated before them."""
+    return F.col("_row") >= 0
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -142,7 +150,7 @@ def fit(patterns: DataFrame, rounds: int = 12) -> Model:
 
 def patterns(voted: DataFrame) -> DataFrame:
     """Vote patterns of all documents that the base rules leave open."""
-    return voted.where(~base_failed()).groupBy(*[f"_v_{r}" for r in RULES]).agg(F.count("*").alias("n"))
+    return voted.where(~base_failed() & computed()).groupBy(*[f"_v_{r}" for r in RULES]).agg(F.count("*").alias("n"))
 
 
 def judged(voted: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
