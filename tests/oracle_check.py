@@ -21,9 +21,9 @@ def plain(v):
     return "\0" if v is None else str(v)
 
 
-def differences(df, sql: str, sf_dir: str) -> str:
+def differences(df, sql: str, sf_dir: str, con=None) -> str:
     """Empty if the results are equal, whatever the order of rows."""
-    got = connect(sf_dir).execute(sql)
+    got = (con or connect(sf_dir)).execute(sql)
     names = [d[0] for d in got.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
