@@ -15,7 +15,8 @@ with a smaller id. Only suffixes that can matter are sorted:
    that Spark samples; equal tokens meet in one partition, so no equal strings lie across a
    boundary. There every window of the runs is sorted by a multikey sort, eight bytes at a
    time and only within ties, up to the whole string; the smallest id of equal strings
-   settles the rest.
+   settles the rest. Runs of a token with more than ``HOT_TOKEN`` texts (the edges of a very
+   common line) spread out instead: their windows meet by a 128-bit digest of the string.
 4. The verdicts are joined to the texts, which mark and drop the covered bytes.
 
 Texts are UTF-8 bytes; null texts are empty. Rows with the same id are one document and do
@@ -40,6 +41,7 @@ SEGMENT = 1 << 18
 FLUSH = 400_000
 BUCKET_BYTES = 8 << 20
 SORT_ROWS = 30_000
+HOT_TOKEN = 250
 _rng = np.random.Generator(np.random.PCG64(81))
 BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -365,6 +367,29 @@ def suffix_sort(suffixes: DataFrame, parts: int) -> DataFrame:
     return suffixes.repartitionByRange(parts, "token").sortWithinPartitions("token").mapInArrow(run, "doc_id long, ordinal int, mask long")
 
 
+def hot_windows(suffixes: DataFrame) -> DataFrame:
+    """The same verdicts for tokens that go with very many texts: their windows meet by the
+    digest of the whole string, so that one token's runs spread over all tasks."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                cols = [[] for _ in range(4)]
+                for doc, ordinal, to, frm, around in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                    for x in range(to, frm + 1):
+                        text = around[SPAN - x : SPAN - x + LENGTH]
+                        for c, v in zip(cols, (hashlib.blake2b(text, digest_size=16).digest(), doc, ordinal, x), strict=True):
+                            c.append(v)
+                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["w", "doc_id", "ordinal", "x"])
+
+    windows = suffixes.mapInArrow(run, "w binary, doc_id long, ordinal int, x int")
+    least = materialize(windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("w", "first"), "least")
+    late = windows.join(least, "w").where(F.col("doc_id") > F.col("first"))
+    return late.groupBy("doc_id", "ordinal").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("mask"))
+
+
 def removed(data: bytes, sure: np.ndarray, ordinals: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """True for every removed byte."""
     _, _, pos, lo, hi = anchors(data)
@@ -415,5 +440,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     verdicts = materialize(merge(blocks(docs, max(64, -(-total // BUCKET_BYTES)))), "verdicts")
     texts = packed_texts(docs)
     parts = max(16, -(-total // BUCKET_BYTES))
-    masks = materialize(suffix_sort(open_suffixes(texts, verdicts), parts), "masks")
+    suffixes = materialize(open_suffixes(texts, verdicts), "suffixes")
+    hot = materialize(suffixes.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT_TOKEN).select("token"), "hot")
+    rare = suffixes.join(hot, "token", "left_anti").select(*suffixes.columns)
+    often = suffixes.join(hot, "token", "left_semi").select(*suffixes.columns)
+    masks = materialize(suffix_sort(rare, parts).unionByName(hot_windows(often)), "masks")
     return cut(texts, verdicts, masks)

@@ -56,6 +56,7 @@ def test_overlapping_copies(spark, monkeypatch):
     monkeypatch.setattr(sd, "_POW", {})
     monkeypatch.setattr(sd, "FLUSH", 40)
     monkeypatch.setattr(sd, "SORT_ROWS", 3)
+    monkeypatch.setattr(sd, "HOT_TOKEN", 3)
     check(rows, sd.dedup(df).collect())
     assert sd.dedup(df.limit(0)).count() == 0
 
