@@ -161,16 +161,25 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def leaders(posted: DataFrame, turn: int) -> DataFrame:
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """(key, doc, u): the posting lists of two documents or more, with their smallest document.
+    Lists of one document, most of all, end here; the postings are exchanged once."""
+    dealt = posted.repartition("key")
+    lead = dealt.groupBy("key").agg(F.min("doc").alias("u"), F.max("doc").alias("last")).where("u <> last").select("key", "u")
+    return dealt.join(lead, "key")
+
+
+def leaders(lists: DataFrame, turn: int) -> DataFrame:
     """Pairs (u: leader of a posting list, v: another of its documents) with their number of lists."""
-    first = F.min("doc") if turn == 0 else F.min_by("doc", F.xxhash64(F.lit(turn), "doc"))
-    lead = posted.groupBy("key").agg(first.alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
-    return posted.join(lead, "key").where("doc <> u").groupBy("u", F.col("doc").alias("v")).agg(F.count("*").alias("hits"))
+    if turn:
+        lead = lists.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(turn), "doc")).alias("u"))
+        lists = lists.drop("u").join(lead, "key")
+    return lists.where("doc <> u").groupBy("u", F.col("doc").alias("v")).agg(F.count("*").alias("hits"))
 
 
-def unsettled(posted: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, doc, component) of the lists with documents of more than one component."""
-    at = posted.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+def unsettled(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, doc, component, n) of the lists with documents of more than one component."""
+    at = lists.select("key", "doc").join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).repartition("key")
     mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     return at.join(mixed, "key")
 
@@ -190,29 +199,54 @@ def across(open_lists: DataFrame, sketches: DataFrame, percent: int, block: int
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "component", "size", "low")
 
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        doc, comp, size, mine = (table.column(c).to_numpy() for c in ("doc", "component", "size", "mine"))
-        sig = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, N_COORD)
-        order = np.argsort(size, kind="stable")
-        doc, comp, size, mine, sig = doc[order], comp[order], size[order], mine[order], sig[order]
-        top = np.searchsorted(size, size * 100 // percent, "right")  # no set that is larger can be similar
-        u, v = [], []
-        for a in range(len(doc) - 1):
-            rest = slice(a + 1, top[a])
-            ok = comp[rest] != comp[a]
-            if i != j:
-                ok &= mine[rest] != mine[a]
-            near = np.flatnonzero(ok) + a + 1
-            if len(near):
-                near = near[(sig[near, :32] == sig[a, :32]).sum(1) >= least - (N_COORD - 32)]
-                near = near[(sig[near] == sig[a]).sum(1) >= least]
-                u += [doc[a]] * len(near)
-                v += doc[near].tolist()
-        u, v = np.array(u, np.int64), np.array(v, np.int64)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+    def compare(batches):
+        """Rows come sorted by list and pair of blocks; the last group of a batch waits for the next."""
+        fields = ("key", "i", "j", "mine", "doc", "component", "size")
+
+        def solve(c, sig):
+            new = np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])])
+            start = np.flatnonzero(new)
+            end = np.append(start[1:], len(new))[np.cumsum(new) - 1]
+            partners = end - np.arange(len(new)) - 1
+            total = np.concatenate([[0], np.cumsum(partners)])
+            u, v, row = [], [], 0
+            while row < len(new):  # pairs of some rows at a time
+                stop = max(row + 1, int(np.searchsorted(total, total[row] + 300_000, "right")) - 1)
+                n = partners[row:stop]
+                a = np.repeat(np.arange(row, stop), n)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+                x, y = c["size"][a], c["size"][b]
+                ok = (c["component"][a] != c["component"][b]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+                ok &= (c["i"][a] == c["j"][a]) | (c["mine"][a] != c["mine"][b])
+                a, b = a[ok], b[ok]
+                half = (sig[a, : N_COORD // 2] == sig[b, : N_COORD // 2]).sum(1) >= least - N_COORD // 2
+                a, b = a[half], b[half]
+                hit = (sig[a] == sig[b]).sum(1) >= least
+                u.append(c["doc"][a[hit]])
+                v.append(c["doc"][b[hit]])
+                row = stop
+            u, v = np.concatenate(u), np.concatenate(v)
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+        held, held_sig = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {f: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(fields)}
+            sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, N_COORD)
+            if held is not None:
+                c, sig = {f: np.concatenate([held[f], c[f]]) for f in fields}, np.concatenate([held_sig, sig])
+            same = (c["key"] == c["key"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield solve({f: c[f][:cut] for f in fields}, sig[:cut])
+            held, held_sig = {f: c[f][cut:] for f in fields}, sig[cut:]
+        if held is not None:
+            yield solve(held, held_sig)
+
+    dealt = dealt.select("key", "i", "j", "mine", "doc", "component", "size", "low")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "u long, v long").distinct()
 
 
 def group(docs: DataFrame, percent: int = 85, turns: int = 2) -> DataFrame:
@@ -225,16 +259,16 @@ def group(docs: DataFrame, percent: int = 85, turns: int = 2) -> DataFrame:
     reps = materialize(full.join(classes, "digest").where("doc_id = class_id").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id", "sig"]), "reps")
     least = least_matches(percent)
     prefix = N_COORD - least + 1
-    posted = post(reps, prefix)
+    shared = materialize(shared_lists(post(reps, prefix)), "shared")
     links, comp = None, None
     same_id = full.join(classes, "digest").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     for turn in range(turns):
-        lists = posted if comp is None else materialize(unsettled(posted, comp), "lists").select("key", "doc")
+        lists = shared if comp is None else materialize(unsettled(shared, comp), "lists")
         pairs = materialize(leaders(lists, turn).where(F.col("hits") >= prefix // 4).select("u", "v"), "pairs")
         new = materialize(confirm(pairs, docs, percent), "links")
         links = new if links is None else links.union(new)
         comp = materialize(components(links), "components")
-    pairs = materialize(across(unsettled(posted, comp), reps, percent), "pairs")
+    pairs = materialize(across(unsettled(shared, comp), reps, percent), "pairs")
     new = materialize(confirm(pairs, docs, percent), "links")
     links = links.union(new)
     # a document with several rows belongs to the classes of all of them
