@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshflock.llm.memory import batch_rows, give_back
 from meshflock.runtime import materialize
 
 LENGTH = 50
 TOKEN = 20
 SPAN = LENGTH - TOKEN  # windows may start up to this far before their anchor
 SEGMENT = 1 << 18
-FLUSH = 400_000
-BUCKET_BYTES = 8 << 20
+FLUSH = 300_000
+BUCKET_BYTES = 6 << 20
 SORT_ROWS = 30_000
 HOT_TOKEN = 250
 _rng = np.random.Generator(np.random.PCG64(81))
@@ -199,8 +200,10 @@ def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
                 if n >= FLUSH:
                     yield flush(held, ids)
                     held, ids, n = [], [], 0
+                    give_back()
         if held:
             yield flush(held, ids)
+        give_back()
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, block binary")
 
@@ -218,7 +221,8 @@ def merge(block_rows: DataFrame) -> DataFrame:
     """(doc_id, sure, open): ordinals of runs that a smaller document has, and of open ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack_block(b) for b in table.column("block").to_pylist()]
+        give_back()
+        parts = [unpack_block(b.as_py()) for b in table.column("block")]
         token, text, doc, ordinal, sure_doc, sure_ord = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
         order, later, mixed = settle(token, text, doc)
@@ -437,10 +441,11 @@ def cut(texts: DataFrame, verdicts: DataFrame, masks: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per document; ``docs`` is read several times (columns doc_id and text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    verdicts = materialize(merge(blocks(docs, max(64, -(-total // BUCKET_BYTES)))), "verdicts")
     texts = packed_texts(docs)
     parts = max(16, -(-total // BUCKET_BYTES))
-    suffixes = materialize(open_suffixes(texts, verdicts), "suffixes")
+    with batch_rows(docs.sparkSession, 500):
+        verdicts = materialize(merge(blocks(docs, max(64, -(-total // BUCKET_BYTES)))), "verdicts")
+        suffixes = materialize(open_suffixes(texts, verdicts), "suffixes")
     hot = materialize(suffixes.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT_TOKEN).select("token"), "hot")
     rare = suffixes.join(hot, "token", "left_anti").select(*suffixes.columns)
     often = suffixes.join(hot, "token", "left_semi").select(*suffixes.columns)
