@@ -38,8 +38,9 @@ def circles(x, y, t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d = 2 * (bx * cy - by * cx)
     with np.errstate(all="ignore"):
         ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        r = np.sqrt(ux * ux + uy * uy) * (1 + 1e-9)
-    return ax + ux, ay + uy, r
+        r = np.sqrt(ux * ux + uy * uy) * (1 + 1e-6)
+    flat = ~(np.abs(d) > 1e-8 * (np.abs(bx * cy) + np.abs(by * cx)))  # too flat for a centre: the circle may be anywhere
+    return np.where(flat, 0.0, ax + ux), np.where(flat, 0.0, ay + uy), np.where(flat, np.inf, r)
 
 
 def _tiled_edges(points: DataFrame, n: int, tile: int) -> DataFrame:
@@ -113,7 +114,7 @@ def _tiled_edges(points: DataFrame, n: int, tile: int) -> DataFrame:
         mesh = Mesh(x, y)
         tri = mesh.triangles()
         cx, cy, r = circles(x, y, tri)
-        out = []
+        out = [(np.full(len(tri), -1), np.arange(len(tri)))]  # so that a triangle far from all points is not lost
         for i in range(cells):
             for j in range(cells):
                 lx, ly = x0 + i * wx, y0 + j * wy
