@@ -41,7 +41,7 @@ N_COORD = 128
 WORDS = 5
 CHUNK = 1 << 20
 SPACE = re.compile(rb"[ \t-\r]")
-BLOCK = 128
+BLOCK = 4096
 _rng = np.random.Generator(np.random.PCG64(20240))
 MULT = _rng.integers(1, 1 << 63, N_COORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, N_COORD, dtype=np.uint64)
@@ -125,6 +125,7 @@ def post(sketches: DataFrame, prefix: int) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, N_COORD)[:, :prefix].astype(np.uint64)
             key = (sig ^ (salt >> np.uint64(20))) * np.uint64(0xBF58476D1CE4E5B9) + salt
             key ^= key >> np.uint64(31)
+            key = (key & ~np.uint64(63)) | np.arange(prefix, dtype=np.uint64)  # the coordinate stays readable
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), prefix))], names=["key", "doc"])
 
     return sketches.select("doc_id", "sig").mapInArrow(run, "key long, doc long")
@@ -187,10 +188,11 @@ def unsettled(lists: DataFrame, comp: DataFrame) -> DataFrame:
 def across(open_lists: DataFrame, sketches: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs of different components in a list that agree on enough coordinates."""
     least = least_matches(percent)
+    prefix = N_COORD - least + 1
 
     def narrow(batches):
         for b in batches:
-            low = [np.frombuffer(s, np.uint8)[::4].tobytes() for s in b.column(2).to_pylist()]
+            low = [np.frombuffer(s, np.uint8)[::4].tobytes() + s[: 4 * prefix] for s in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low, pa.binary())], names=["doc", "size", "low"])
 
     low = sketches.select("doc_id", "n_shingles", "sig").mapInArrow(narrow, "doc long, size long, low binary")
@@ -203,7 +205,8 @@ def across(open_lists: DataFrame, sketches: DataFrame, percent: int, block: int
         """Rows come sorted by list and pair of blocks; the last group of a batch waits for the next."""
         fields = ("key", "i", "j", "mine", "doc", "component", "size")
 
-        def solve(c, sig):
+        def solve(c, both):
+            sig, whole = both[:, :N_COORD], np.ascontiguousarray(both[:, N_COORD:]).view(np.uint32)
             new = np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])])
             start = np.flatnonzero(new)
             end = np.append(start[1:], len(new))[np.cumsum(new) - 1]
@@ -222,6 +225,9 @@ def across(open_lists: DataFrame, sketches: DataFrame, percent: int, block: int
                 half = (sig[a, : N_COORD // 2] == sig[b, : N_COORD // 2]).sum(1) >= least - N_COORD // 2
                 a, b = a[half], b[half]
                 hit = (sig[a] == sig[b]).sum(1) >= least
+                a, b = a[hit], b[hit]
+                # of all lists that a pair shares, the one of its first shared coordinate reports it
+                hit = (whole[a] == whole[b]).argmax(1) == (c["key"][a] & 63)
                 u.append(c["doc"][a[hit]])
                 v.append(c["doc"][b[hit]])
                 row = stop
@@ -234,7 +240,7 @@ def across(open_lists: DataFrame, sketches: DataFrame, percent: int, block: int
             if not batch.num_rows:
                 continue
             c = {f: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(fields)}
-            sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, N_COORD)
+            sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             if held is not None:
                 c, sig = {f: np.concatenate([held[f], c[f]]) for f in fields}, np.concatenate([held_sig, sig])
             same = (c["key"] == c["key"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
@@ -259,6 +265,8 @@ def group(docs: DataFrame, percent: int = 85, turns: int = 2) -> DataFrame:
     reps = materialize(full.join(classes, "digest").where("doc_id = class_id").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id", "sig"]), "reps")
     least = least_matches(percent)
     prefix = N_COORD - least + 1
+    if prefix > 64:  # a list's key holds its coordinate in six bits
+        raise ValueError("similarities below 0.72 are not supported")
     shared = materialize(shared_lists(post(reps, prefix)), "shared")
     links, comp = None, None
     same_id = full.join(classes, "digest").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
