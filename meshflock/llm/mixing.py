@@ -3,21 +3,25 @@
 A classifier learned from a labelled table gives every document posterior probabilities of
 the domains. With document rates r (expected copies), token counts t and posteriors p, the
 expected token total of domain d is sum(t * p_d * r). Projected gradient descent fits
-nonnegative rates whose totals match the targets in least squares, in the metric of
-H = sum(t * p * p') (of all documents, or of those not at a bound); every document starts at rate 1, so documents of one kind move alike.
+nonnegative rates whose totals match the targets in least squares, every domain's gap
+weighing alike; steps are scaled by H = sum(t * p * p') (of all documents, or of those not at
+a bound). Every document starts at rate 1, so documents of one kind move alike.
 A step changes r by -p.s for a vector s of one number per domain. The rates after k steps
 follow from p and the k vectors alone: an iteration is two aggregations over the written
 posteriors, and the driver holds a few numbers per domain.
 
-Bounds (parameters): ``each`` labelled rows per domain are fitted. Tokens are words between
-white space. Empty and null texts have no tokens and the posteriors of the classes' shares.
-Domains without labelled rows have posterior 0. Without any labelled row all documents keep
-rate 1. Repeated rows are mixed as separate documents with equal rates.
+Bounds (parameters): ``each`` labelled rows per domain are fitted; rates are at most ``most``.
+A target that the documents cannot reach under it is lowered, the others are raised so that
+the size stays, and a warning says so. Tokens are words between white space. Empty and null
+texts have no tokens and the posteriors of the classes' shares. Domains without labelled rows
+have posterior 0, so their share goes to the others. Without any labelled row all documents
+keep rate 1. Repeated rows are mixed as separate documents with equal rates.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -108,44 +112,78 @@ def rate(steps: list[np.ndarray], domains: list[str], most: float) -> Column:
     return r
 
 
+def within_reach(weights: np.ndarray, size: float, reach: np.ndarray) -> np.ndarray:
+    """Wanted token totals: ``size`` shared out by weight, no domain above its reach. What such
+    a domain cannot take goes to the others."""
+    want, open_ = np.zeros(len(weights)), weights > 0
+    while open_.any():
+        share = weights / weights[open_].sum() * max(0.0, size - want[~open_].sum())
+        over = open_ & (share > reach)
+        if not over.any():
+            want[open_] = share[open_]
+            break
+        want[over] = reach[over]
+        open_ &= ~over
+    return want
+
+
 def fit_rates(post: DataFrame, targets: dict[str, float], budget: float = 1.0, most: float = 8.0, rounds: int = 15, tolerance: float = 1e-7) -> list[np.ndarray]:
     """Steps of projected gradient; ``targets`` are weights, ``budget`` the wanted size by the size now.
 
+    A domain's reach is ``most`` times its tokens in documents of which it is the likeliest
+    domain, and its tokens in the others as they are. Targets beyond it are lowered to it and
+    the others raised, so that the size stays; a warning names every domain whose total ends
+    more than 0.5 % of the size below its target or above it. All domains' gaps weigh alike.
     A step is tried in the metric of all documents and, at four lengths, in that of the
-    documents whose rates are not at a bound; the one that comes nearest the targets is taken."""
+    documents whose rates are not at a bound, and along the gap itself; the one that comes
+    nearest the targets is taken."""
     domains = list(targets)
     k = len(domains)
     t = F.col("tokens").cast("double")
     p = [F.col(f"p_{d}") for d in domains]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    likeliest = F.greatest(*p) if k > 1 else p[0]
+    weights = np.array([targets[d] for d in domains], float) / sum(targets.values())
 
-    def metric(row, name):
-        return np.linalg.pinv(np.array([[row[f"{name}{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]), rcond=1e-9)
+    def matrix(row, name):
+        return np.array([[row[f"{name}{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
     free = (F.col("_r") > 0) & (F.col("_r") < most)
     steps: list[np.ndarray] = []
+    want = None
     for _ in range(rounds):
         at = post.withColumn("_r", rate(steps, domains, most))
         row = at.agg(
-            F.sum(t).alias("t"), *[F.sum(t * q * F.col("_r")).alias(f"a{i}") for i, q in enumerate(p)],
+            F.sum(t).alias("t"), *[F.sum(t * q * F.col("_r")).alias(f"a{i}") for i, q in enumerate(p)], *([F.sum(F.when(q >= likeliest, t * q)).alias(f"o{i}") for i, q in enumerate(p)] if want is None else []),
             *[F.sum(t * p[i] * p[j]).alias(f"h{i}_{j}") for i, j in pairs], *[F.sum(F.when(free, t * p[i] * p[j])).alias(f"f{i}_{j}") for i, j in pairs],
         ).first()
         if not row["t"]:
             return []
-        want = np.array([targets[d] for d in domains]) / sum(targets.values()) * row["t"] * budget
-        gap = np.array([row[f"a{i}"] for i in range(k)]) - want
+        size = row["t"] * budget
+        total = np.array([row[f"a{i}"] for i in range(k)])
+        if want is None:
+            own = np.array([row[f"o{i}"] or 0.0 for i in range(k)])
+            want = within_reach(weights, size, most * own + total - own)
+        gap = total - want
         if np.abs(gap).max() <= tolerance * row["t"]:
             break
-        whole, part = metric(row, "h"), metric(row, "f")
-        tried = [whole @ gap, *(part @ gap * x for x in (1.0, 0.5, 0.25, 0.1))]
+        h, f = matrix(row, "h"), matrix(row, "f")
+        whole, part = np.linalg.pinv(h, rcond=1e-9), np.linalg.pinv(f, rcond=1e-9)
+        curve = float(gap @ f @ gap)
+        along = gap * (float(gap @ gap) / curve if curve > 0 else 0.0)
+        tried = [whole @ gap, *(part @ gap * x for x in (1.0, 0.5, 0.25, 0.1)), along, along * 0.25]
         ends = [rate([*steps, s], domains, most) for s in tried]
         sums = post.agg(*[F.sum(t * q * e).alias(f"a{n}_{i}") for n, e in enumerate(ends) for i, q in enumerate(p)]).first()
         gaps = [np.array([sums[f"a{n}_{i}"] for i in range(k)]) - want for n in range(len(tried))]
-        loss = [float(g @ whole @ g) for g in gaps]
+        loss = [float(g @ g) for g in gaps]
         best = int(np.argmin(loss))
-        if loss[best] >= float(gap @ whole @ gap) * (1 - 1e-6):
+        if loss[best] >= float(gap @ gap) * 0.99:
             break
         steps.append(tried[best])
+        gap = gaps[best]
+    for d, share, asked in zip(domains, (gap + want) / size, weights, strict=True):
+        if abs(share - asked) > 0.005:
+            warnings.warn(f"mixing: domain {d} makes {share:.2%} of the asked size, its target is {asked:.2%} (rates are at most {most:g})", stacklevel=2)
     return steps
 
 
