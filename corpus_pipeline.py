@@ -37,6 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated at their fitted rates."""
     labels = mixing.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # the classifier's sample is bounded by labels: only those of rows that are still here count
+    labels = materialize(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
     rates = mixing.mix(docs.select("doc_id", "text"), labels, mixing.TARGETS, mixing.BUDGET)
     times = rates.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     out = docs.join(times, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))

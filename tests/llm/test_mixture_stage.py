@@ -46,3 +46,15 @@ def test_reach():
     assert np.allclose(m.within_reach(w, 100.0, np.array([50.0, 1.0, 90.0])), [50, 1, 49])
     assert np.allclose(m.within_reach(w, 100.0, np.array([50.0, 1.0, 2.0])), [50, 1, 2])
     assert np.allclose(m.within_reach(np.array([1.0, 0.0]), 10.0, np.array([80.0, 80.0])), [10, 0])
+
+
+def test_sample_is_of_rows_that_exist(spark, tmp_path, monkeypatch):
+    """5000 of 5080 labelled junk rows are gone: the sample must hold the 80 that are left."""
+    labels = [(i, 0, 0) for i in range(5080)] + [(i, 1, 0) for i in range(6000, 6080)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [*range(80), *range(6000, 6080)]
+    docs = spark.createDataFrame([(i, ("bad word " if i < 80 else "good text ") + str(i)) for i in ids], "doc_id long, text string")
+    fitted, fit = [], m.fit_logistic
+    monkeypatch.setattr(m, "fit_logistic", lambda flat, lengths, *a, **k: fitted.append(len(lengths)) or fit(flat, lengths, *a, **k))
+    cp.mixture(spark, docs, str(tmp_path)).count()
+    assert fitted == [160, 160]
