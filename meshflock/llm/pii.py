@@ -90,6 +90,9 @@ DASH = re.compile("[" + LOOKALIKES["-"] + "]")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _W = "|".join(DIGIT_WORDS)
 SPELLED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_W}|[0-9])(?:[\s.,-]{{1,3}}(?:{_W}|[0-9]))+\b", re.I)
+#: The same with groups of digits among the words.
+GROUPED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_W}|[0-9]+)(?:[\s.,-]{{1,3}}(?:{_W}|[0-9]+))+\b", re.I)
+GROUP = re.compile("[0-9]{2}")
 WORD_HINTS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "one one", "one-one")
 ONE_DIGIT = re.compile(rf"{_W}|[0-9]", re.I)
 STRONG_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
@@ -99,7 +102,8 @@ WEAK_DOT = r"\s+dot\s+"
 DISGUISE = re.compile(rf"(?P<sat>{STRONG_AT})|(?P<sdot>{STRONG_DOT})|(?P<wat>{WEAK_AT})|(?P<wdot>{WEAK_DOT})", re.I)
 BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
 
-COPIED, LOOKS, SPELT, STRONG, WEAK = range(5)
+#: MIXED is SPELT with groups of digits and few words: it takes a plus or a card's check digit.
+COPIED, LOOKS, SPELT, MIXED, STRONG, WEAK = range(6)
 
 
 class Tape:
@@ -128,8 +132,9 @@ class Tape:
         return "".join(self.text)
 
 
-def transduce(text: str) -> Tape | None:
-    """The rewritten text, or None where nothing is disguised."""
+def transduce(text: str, spelled: re.Pattern = SPELLED) -> Tape | None:
+    """The rewritten text, or None where nothing is disguised. A run of ``spelled`` counts from
+    four digits on, of which one at least is a word."""
     odd = not text.isascii() and (ODD.search(text) is not None or (DASH.search(text) is not None and DIGITS.search(text) is not None))
     low = text.lower()
     words = any(w in low for w in WORD_HINTS)
@@ -143,11 +148,12 @@ def transduce(text: str) -> Tape | None:
         words, places = any(w in low for w in WORD_HINTS), "dot" in low or BRACKETED.search(low) is not None
     if words:
         edits = []
-        for m in SPELLED.finditer(tape.string()):
+        for m in spelled.finditer(tape.string()):
             marks = [(DIGIT_WORDS.get(x[0].lower(), x[0]), m.start() + x.start(), m.start() + x.end()) for x in ONE_DIGIT.finditer(m[0])]
             if len(marks) >= 4 and any(b - a > 1 for _, a, b in marks):
                 plus = [("+", m.start(), m.start() + 4)] if m[0][:4].lower() == "plus" else []
-                edits.append((m.start(), m.end(), plus + marks, SPELT))
+                bare = not GROUP.search(m[0]) or ("," not in m[0] and sum(b - a > 1 for _, a, b in marks) >= 3)
+                edits.append((m.start(), m.end(), plus + marks, SPELT if bare else MIXED))
         tape.rewrite(edits)
     if places:
         edits = []
@@ -164,7 +170,18 @@ def meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    tape = transduce(text)
+    out = spans_of(transduce(text), base)
+    low = text.lower()
+    if any(w in low for w in WORD_HINTS) and GROUP.search(text):
+        # runs with groups of digits: what they add to the spans above
+        more = spans_of(transduce(text, GROUPED), base)
+        held = sorted((a, b) for a, _, b in out)
+        out = sorted(set(out + [s for s in more if not meets(held, s[0], s[2])]))
+    return out
+
+
+def spans_of(tape: Tape | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the base patterns find through a rewritten character, at its source."""
     if tape is None:
         return []
     held = sorted((a, b) for a, _, b in base)

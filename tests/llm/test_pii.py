@@ -85,3 +85,27 @@ def test_query_equals_brute_force(spark):
         want = brute(texts[r.doc_id] or "")
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
         assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+
+
+GROUPS = [
+    ("call plus one 415 five five five 0199 now", "plus one 415 five five five 0199"),
+    ("call +1 415 five five five 0199 now", "+1 415 five five five 0199"),
+    ("call 415 five five five 0199 now", "415 five five five 0199"),
+    ("call +1 four one five 555-0199 now", "+1 four one five 555-0199"),
+    ("call +1 415 five 55 0199 now", "+1 415 five 55 0199"),
+]
+
+
+@pytest.mark.parametrize("text,hidden", GROUPS)
+def test_words_next_to_groups_of_digits(text, hidden):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.added_spans(text, pii.base_spans(text))] == [("phone", hidden)]
+
+
+@pytest.mark.parametrize("text", ["in 2019, five of 300 came", "two 2019-05-12 and 7", "two 2019-05-12 12", "one, two, three, 2019, 2020", "chapters one, two, three, 12", "room 415 five", "one of 1,000,000"])
+def test_figures_in_prose_are_left_alone(text):
+    assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
+def test_a_group_beside_a_spelled_number_loses_nothing():
+    text = "in 2019 2020 dial four eight seven five five five seven two zero nine"
+    assert [text[a:b] for a, _, b in pii.added_spans(text, pii.base_spans(text))] == ["four eight seven five five five seven two zero nine"]
