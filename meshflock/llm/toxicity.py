@@ -113,7 +113,7 @@ def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.n
     return {f: float(w[k]) for f, k in index.items()}, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", each: int = 3000, **options) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", each: int = 4000, **options) -> tuple[dict[int, float], float]:
     """Fit on texts of ``docs`` (columns key, text) with a 0/1 label in ``labels`` (key, label).
 
     The sample is taken from the labels alone. It holds at most ``3 * each`` keys, so it is

@@ -97,3 +97,11 @@ def test_toxicity_edges(spark):
     none = toxicity.train(df.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none[0] == {}
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_toxicity_fits_4000_rows_a_class(spark, monkeypatch):
+    docs = spark.range(7600).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'vile ', 'kind '), id) as text")
+    fitted, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda flat, lengths, *a, **k: fitted.append(len(lengths)) or fit(flat, lengths, *a, **k))
+    toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as toxic"))
+    assert fitted == [7600]
