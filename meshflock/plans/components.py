@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshflock.plans.model import MAX_EDGES, roots
-from meshflock.runtime import materialize
+from meshflock.runtime import discard, materialize
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, written: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.where("v <= u") if small else both
     least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     least = materialize(least, "least")  # both sides of the join are plain exchanges: a hub's rows can be split
+    written.append(least)
     hit = near.join(least, near.u == least.w)
     if small:
         out = hit.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
@@ -39,7 +40,9 @@ def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = materialize(_star(_star(edges, False), True), "edges")
+        used = [edges]
+        edges = materialize(_star(_star(edges, False, used), True, used), "edges")
+        discard(*used)
         after = state(edges)
         if after == before:
             break
