@@ -47,7 +47,7 @@ def check(rows, out):
         assert r.kept == (r.doc_id == r.component_id)
 
 
-def test_chains_and_hot_groups(spark, monkeypatch):
+def test_chains_and_hot_groups(spark):
     """A chain of small edits, a large group around one text, shared passages, exact copies."""
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(3000)]
@@ -71,9 +71,31 @@ def test_chains_and_hot_groups(spark, monkeypatch):
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     check(rows, nd.group(df).collect())
-    # lists in blocks of two, and no stars at all, must say the same
-    monkeypatch.setattr(nd.across, "__defaults__", (8,))
-    check(rows, nd.group(df, turns=1).collect())
+    # lists in small blocks must say the same
+    for block, weight in ((4, 10**9), (10**9, 500)):
+        check(rows, nd.group(df, block=block, weight=weight).collect())
+
+
+def test_far_members_of_a_long_list(spark):
+    """A hub whose members are at any distance, some too far from all others."""
+    rnd = random.Random(9)
+    hub = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(80):
+        t = hub[:]
+        for j in range(rnd.choice([1, 2, 5, 7, 9])):
+            t[rnd.randrange(300)] = f"e{i}x{j}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (3, 10, 1000):
+        check(rows, nd.group(df, block=block).collect())
+
+
+def test_long_texts(spark):
+    """Texts far longer than a piece of the hash, one with a changed end."""
+    words = [f"w{i % 7919}q{i % 31}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-2] + ["x", "y"])), (3, " ".join(words[150_000:])), (4, "a" * 3_000_000)]
+    check(rows, nd.group(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def test_edges(spark):
