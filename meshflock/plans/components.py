@@ -1,7 +1,12 @@
 """Connected components of an edge table (u, v): the smallest node of each is its name.
 
-Up to ``MAX_EDGES`` edges are one task's union; beyond, alternating large-star and
-small-star steps, each round written to the shared folder. Nothing is collected.
+Rounds of three steps over written tables, the same at every size; nothing is collected:
+
+* *local*: each partition joins its own edges and sends every node to the smallest of its
+  local component. What one partition holds is finished by this step alone.
+* *large star* and *small star*: neighbours are sent to the least neighbour.
+
+Rounds end when every node has one edge and no root has an edge of its own.
 """
 
 from __future__ import annotations
@@ -11,9 +16,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshflock.plans.model import MAX_EDGES, roots
+from meshflock.plans.model import roots
 from meshflock.runtime import discard, materialize
 
+CHUNK = 2_000_000  # edges that a task joins at a time
+
+
+def _local(edges: DataFrame) -> DataFrame:
+    def forest(u, v):
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(len(ids), at[: len(u)], at[len(u) :])
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[moved], ids[root[moved]]
+
+    def run(batches):
+        u, v, n = [], [], 0
+
+        def out():
+            a, b = forest(np.concatenate(u), np.concatenate(v))
+            u.clear()
+            v.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            u.append(b.column(0).to_numpy(zero_copy_only=False))
+            v.append(b.column(1).to_numpy(zero_copy_only=False))
+            n += b.num_rows
+            if n >= CHUNK:
+                yield out()
+                n = 0
+        if n:
+            yield out()
+
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
+
 
 def _star(edges: DataFrame, small: bool, written: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,37 +65,22 @@ def _star(edges: DataFrame, small: bool, written: list[DataFrame]) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of an edge, for edge tables of any size."""
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+def _settled(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("n").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low + high > 1").limit(1).count()
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    before = state(edges)
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of an edge; edges from a node to itself say nothing."""
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = materialize(_local(edges), "edges")
     for _ in range(rounds):
-        if not before[0]:
+        if _settled(edges):
             break
         used = [edges]
-        edges = materialize(_star(_star(edges, False, used), True, used), "edges")
+        stars = _star(_star(edges, False, used), True, used)
+        edges = materialize(_local(stars).distinct(), "edges")
         discard(*used)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-
-
-def _one_task(table: pa.Table) -> pa.Table:
-    u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    root = roots(len(ids), at[: len(u)], at[len(u) :])
-    return pa.table({"node": ids, "component": ids[root]})
-
-
-def components(edges: DataFrame, most: int = MAX_EDGES) -> DataFrame:
-    if edges.count() > most:
-        return star_components(edges)
-    return edges.select("u", "v").groupBy(F.lit(0).alias("one")).applyInArrow(_one_task, "node long, component long")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("component")).distinct())

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from meshflock.plans import spatial
-from meshflock.plans.components import components, star_components
+from meshflock.plans.components import components
 from meshflock.plans.model import Fit, Options
 from meshflock.plans.triangulation import delaunay_edges
 from meshflock.sources.points import assign, load_model, read_points, read_updates, save_model
@@ -22,13 +22,24 @@ def test_tiles_equal_one_block(spark, kind):
     assert got == [tuple(e) for e in delaunay_edges(x, y).tolist()]
 
 
-def test_components_agree(spark):
+@pytest.mark.parametrize("spread", [False, True])
+def test_components_equal_union_find(spark, spread, monkeypatch):
     rng = np.random.default_rng(4)
-    e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(i, i + 1) for i in range(1000, 1040)]
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(50)]
+    parent = {x: x for p in e for x in p}
+    for _ in parent:
+        for a, b in e:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    want = sorted((n, c) for n, c in parent.items() if any(a != b and n in (a, b) for a, b in e))
     df = spark.createDataFrame(e, "u long, v long")
-    one, many = (sorted(map(tuple, f(df).collect())) for f in (components, star_components))
-    assert one == many and max(c for n, c in one if n >= 1000) == 1000
-    assert components(df.limit(0)).count() == 0
+    if spread:  # many partitions, and tasks that hold a few edges at a time
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        monkeypatch.setattr("meshflock.plans.components.CHUNK", 8)
+    try:
+        assert sorted(map(tuple, components(df).collect())) == want
+        assert components(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_walk_touches_its_ends():
