@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshflock.plans.components import star_components as components
+from meshflock.plans.components import components
 from meshflock.runtime import discard, materialize
 
 N_COORD = 128
@@ -55,6 +55,7 @@ WORDS = 5
 CHUNK = 1 << 20
 SPACE = re.compile(rb"[ \t-\r]")
 BUNDLE = 2048
+SPOTS = 25
 KEYS_PER_BUCKET = 2_000_000
 BLOCK = 1024
 WEIGHT = 1_000_000
@@ -242,29 +243,61 @@ def prefixes(bundled: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
     return bundled.join(got, "bundle").select("docs", "sigs", "blocks").mapInArrow(run, "doc long, keys array<long>")
 
 
-def posting_lists(prefix: DataFrame) -> DataFrame:
+def posting_lists(posted: DataFrame) -> DataFrame:
     """(key, doc, n): lists of two documents or more; of lists of the same documents one."""
-    posted = prefix.select(F.explode("keys").alias("key"), "doc").distinct()
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all"), F.sum(F.xxhash64(F.lit(1), "doc").cast("decimal(38,0)")).alias("also")).where("n > 1")
     one = lists.groupBy("n", "all", "also").agg(F.min("key").alias("key")).select("key", "n")
     return posted.join(one, "key")
 
 
+def spots(ids: np.ndarray) -> np.ndarray:
+    h = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SPOTS)
+    return h.astype(np.int64)
+
+
+def spot_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** ``SPOTS`` places, those of the wanted ids set. Its size is fixed: the
+    more documents are wanted, the more others pass, and none is lost."""
+
+    def run(batches):
+        for b in batches:
+            at = spots(b.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bits"])
+
+    words = wanted.select("doc").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (SPOTS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, size, low, shingles): whole sets and one byte of each coordinate."""
+    """(doc, size, low, shingles): whole sets, six bytes a shingle, and one byte of each
+    coordinate, of the wanted documents (and of few others). Texts are filtered where they
+    are read: only sets are exchanged."""
+    sc = docs.sparkSession.sparkContext
+    bits = sc.broadcast(spot_filter(wanted))
 
     def run(batches):
         words = Words()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            at = spots(whole.column(0).to_numpy(zero_copy_only=False))
+            take = np.flatnonzero(bits.value[at >> 6] >> (at & 63) & 1)
+            for k in range(0, len(take), 256):
+                b = whole.take(pa.array(take[k : k + 256]))
                 sets = [words.shingles(t) for t in b.column(1).to_pylist()]
                 low = [np.ascontiguousarray(signature(s).view(np.uint8)[::4]).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "size", "low", "shingles"])
+                six = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in sets]
+                digest = [hashlib.blake2b(s, digest_size=16).digest() for s in six]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.binary()), pa.array(digest, pa.binary()), pa.array(six, pa.binary())], names=["doc", "size", "low", "digest", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
+    return rows.mapInArrow(run, "doc long, size long, low binary, digest binary, shingles binary").where("size > 0").dropDuplicates(["doc", "digest"]).drop("digest")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.join(wanted.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "text"])
-    return rows.mapInArrow(run, "doc long, size long, low binary, shingles binary").where("size > 0")
+def unpack_set(six: bytes) -> np.ndarray:
+    out = np.zeros((len(six) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 FREE, PROBE, TARGET, MAIN = range(4)  # parts that a document can take in a task
@@ -331,7 +364,7 @@ def merged(dealt: DataFrame, percent: int, least: int) -> DataFrame:
                 b = whole.slice(at, BLOCK)
                 c = {f: b.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(fields)}
                 low = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, N_COORD)
-                sets = [np.frombuffer(s, np.uint64) for s in b.column(8).to_pylist()]
+                sets = [unpack_set(s) for s in b.column(8).to_pylist()]
                 if held is not None:
                     c, low, sets = {f: np.concatenate([held[0][f], c[f]]) for f in fields}, np.concatenate([held[1], low]), held[2] + sets
                 same = (c["key"] == c["key"][-1]) & (c["i"] == c["i"][-1]) & (c["j"] == c["j"][-1])
@@ -385,14 +418,16 @@ def group(docs: DataFrame, percent: int = 85, block: int = BLOCK, weight: int =
     reps = full.dropDuplicates(["doc_id", "digest"]).join(first, ["doc_id", "digest"], "left_semi")
     bundled = materialize(bundles(reps), "bundles")
     n = bundled.agg(F.sum(F.octet_length("docs"))).first()[0] or 0
-    lengths = list_lengths(bundled, max(16, -(-n // 8 * N_COORD // KEYS_PER_BUCKET)))
+    lengths = materialize(list_lengths(bundled, max(16, -(-n // 8 * N_COORD // KEYS_PER_BUCKET))), "lengths")
     prefix = materialize(prefixes(bundled, lengths, least), "prefixes")
     discard(bundled)
-    lists = materialize(posting_lists(prefix), "lists")
+    posted = materialize(prefix.select(F.explode("keys").alias("key"), "doc").distinct(), "posted")
+    lists = materialize(posting_lists(posted), "lists")
+    discard(prefix, lengths, posted)
     sets = materialize(full_sets(docs, lists), "sets")
     blocked = materialize(_blocks(lists, sets, block, weight), "blocked")
     links = materialize(links_within(blocked, sets, percent, least), "links")
-    discard(prefix, lists)
+    discard(lists)
     comp = materialize(components(links), "components")
     more = materialize(links_across(blocked, sets, comp, percent, least, block, weight), "links")
     discard(blocked, sets, comp)
