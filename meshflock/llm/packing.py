@@ -6,12 +6,17 @@ packer holds at most ``open_bins`` unfinished sequences, found through a bitset
 is set when some open sequence has f free places; a piece goes to the lowest set bit that
 fits, and when a new sequence is needed while all places are taken, the fullest is closed.
 
-Pieces are dealt by a hash of their key into lanes of about ``lane_size`` pieces; a lane is
-packed by one task, its pieces longest first (the packer's look-ahead). A lane is a bounded
-unit whatever the size of the input, so no task grows with it.
-
-Null texts are empty documents: one piece that holds only the closing id. Empty tables give
-empty results; further columns of the input are not carried.
+Pieces are dealt by a hash of their row number into lanes of about ``lane_size`` pieces and
+arrive there in the order of that hash, so long and short ones mix. Of ``look_ahead`` pieces
+that have arrived the longest goes first; the open sequences stay open from one such window
+to the next. A lane is packed by one task and is a bounded unit whatever the size of the
+input, so no task grows with it; equal rows go to different lanes.
+
+Null and empty texts are one piece that holds only the closing id. Long texts are tokenised
+in blocks at places that no token crosses. Repeated rows are packed as separate pieces;
+between open sequences with equal free places the one filled last is taken. Empty tables
+give empty results. Further columns of the documents are not read or returned; of pieces, a
+column named as an output is replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +25,15 @@ import base64
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+OPEN_BINS = 1024
+LOOK_AHEAD = 1024
+LANE_SIZE = 1 << 16
 
 #: Texts of these characters only are split by ``FAST``; there Python's classes agree with
 #: the tokenizer's own pattern. All other texts go to the tokenizer as they are.
@@ -95,7 +103,9 @@ def cut(n: int, size: int):
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, ranks_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and a number for the row.
+
+    The numbers differ from run to run: write the table before it is packed."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
@@ -110,13 +120,13 @@ def tokenize(docs: DataFrame, tokenizer_path: str, ranks_path: str, size: int =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES).withColumn("row", F.monotonically_increasing_id())
 
 
 def best_fit(lengths, size: int, open_bins: int):
-    """(bin, offset) for each length, in the order given."""
+    """(bin, offset, bins closed so far to make room) for each length, in the order given."""
     slots: list[list[int]] = [[] for _ in range(size + 1)]  # open bins by free places
-    bits = n_open = made = 0
+    bits = n_open = made = closed = 0
     for n in lengths:
         fits = bits >> n
         if fits:
@@ -132,8 +142,9 @@ def best_fit(lengths, size: int, open_bins: int):
                 if not slots[free]:
                     bits ^= 1 << free
                 n_open -= 1
+                closed += 1
             b, free, made = made, size, made + 1
-        yield b, size - free
+        yield b, size - free, closed
         free -= n
         if free:
             slots[free].append(b)
@@ -141,27 +152,24 @@ def best_fit(lengths, size: int, open_bins: int):
             n_open += 1
 
 
-def pack(pieces: DataFrame, n_pieces: int, size: int = 2048, open_bins: int = 4096, lane_size: int = 4096, key: tuple[Column, ...] = ()) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (columns ``length`` and any others).
-
-    ``n_pieces`` is their number, of which the number of lanes follows; ``key`` are columns
-    that tell pieces apart (all columns if empty). Equal rows are packed as separate pieces.
-    """
-    lanes = max(1, -(-n_pieces // lane_size))
-    key = key or tuple(F.col(c) for c in pieces.columns)
-    dealt = pieces.withColumn("_lane", F.pmod(F.xxhash64(*key), F.lit(lanes)))
-    fields = pieces.schema.names
-    order = [fields.index("length")]
+def pack(pieces: DataFrame, size: int = 2048, open_bins: int = OPEN_BINS, lane_size: int = LANE_SIZE, look_ahead: int = LOOK_AHEAD) -> DataFrame:
+    """Add ``sequence_id``, ``offset`` and ``n_closed`` (bins of the lane closed to make room
+    until then) to pieces: a written table with a ``length``, a ``row`` that numbers its rows,
+    and any other columns, which are carried."""
+    lanes = max(1, -(-pieces.count() // lane_size))
+    kept = [f for f in pieces.schema if f.name not in ("row", "sequence_id", "offset", "n_closed")]
+    dealt = pieces.select(*[F.col(f"`{f.name}`") for f in kept], F.xxhash64("row").alias("_spot")).withColumn("_lane", F.pmod("_spot", F.lit(lanes)))
+    names = [f.name for f in kept]
 
     def run(table: pa.Table) -> pa.Table:
-        lane = table.column("_lane")[0].as_py()
-        table = table.drop_columns(["_lane"])
-        names = table.column_names
-        by = [("length", "descending")] + [(c, "ascending") for c in names if c != "length"]
-        table = table.sort_by(by)
-        placed = list(best_fit(table.column(order[0]).to_pylist(), size, open_bins))
-        base = lane << 32
-        return table.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64())).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_lane").applyInArrow(run, f"{kinds}, sequence_id long, offset long")
+        base = table.column("_lane")[0].as_py() << 32
+        table = table.sort_by([("_spot", "ascending")])
+        window = pa.array(np.arange(len(table)) // look_ahead)
+        table = table.append_column("_window", window).sort_by([("_window", "ascending"), ("length", "descending"), ("_spot", "ascending")]).select(names)
+        placed = list(best_fit(table.column("length").to_pylist(), size, open_bins))
+        for k, name in enumerate(("sequence_id", "offset", "n_closed")):
+            table = table.append_column(name, pa.array([base + p[k] if k == 0 else p[k] for p in placed], pa.int64()))
+        return table
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return dealt.groupBy("_lane").applyInArrow(run, f"{kinds}, sequence_id long, offset long, n_closed long")
