@@ -8,7 +8,10 @@ again, and what they find through a rewritten character is mapped back to source
 ranges that meet no base one are added. Texts without any disguise skip the second part.
 
 A bare `` at `` counts only with a disguised dot in the domain, so prose is left alone.
-Offsets are in code points, ends exclusive. Null texts are empty and have no spans.
+Offsets are in code points, ends exclusive. Null and empty texts have no spans; the masked
+text of a null is null. Long texts are searched whole, in time in proportion to their length.
+Of spans that start at one place the kind listed first comes first. Repeated rows get equal
+spans, an empty table an empty result; an input column named as an output is replaced.
 """
 
 from __future__ import annotations
@@ -95,11 +98,8 @@ GROUPED = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_W}|[0-9]+)(?:[\s.,-]{{1,3}}(?:{_
 GROUP = re.compile("[0-9]{2}")
 WORD_HINTS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "zero", "one one", "one-one")
 ONE_DIGIT = re.compile(rf"{_W}|[0-9]", re.I)
-STRONG_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
-STRONG_DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
-WEAK_AT = r"\s+at\s+|\s+@\s*|\s*@\s+"
-WEAK_DOT = r"\s+dot\s+"
-DISGUISE = re.compile(rf"(?P<sat>{STRONG_AT})|(?P<sdot>{STRONG_DOT})|(?P<wat>{WEAK_AT})|(?P<wdot>{WEAK_DOT})", re.I)
+# Each alternative begins at a bracket, a word or a sign; white space around it is taken in by ``disguises``.
+DISGUISE = re.compile(r"(?P<sat>[\[({<]\s*(?:at|@)\s*[\])}>])|(?P<sdot>[\[({<]\s*(?:dot|\.)\s*[\])}>])|(?P<wat>(?<=\s)at(?=\s)|(?<=\s)@|@(?=\s))|(?P<wdot>(?<=\s)dot(?=\s))", re.I)
 BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
 
 #: MIXED is SPELT with groups of digits and few words: it takes a plus or a card's check digit.
@@ -156,13 +156,27 @@ def transduce(text: str, spelled: re.Pattern = SPELLED) -> Tape | None:
                 edits.append((m.start(), m.end(), plus + marks, SPELT if bare else MIXED))
         tape.rewrite(edits)
     if places:
-        edits = []
-        for m in DISGUISE.finditer(tape.string()):
-            edits.append((m.start(), m.end(), [("@" if m.lastgroup in ("sat", "wat") else ".", m.start(), m.end())], STRONG if m.lastgroup[0] == "s" else WEAK))
-        tape.rewrite(edits)
+        tape.rewrite([(a, b, [(sign, a, b)], kind) for a, b, sign, kind in disguises(tape.string())])
     return tape
 
 
+def disguises(text: str):
+    """(from, to, @ or ., kind) of every ``at`` and ``dot``, with the white space around it.
+
+    Time is in proportion to the text: what one disguise has taken in is not looked at again."""
+    done = 0
+    for m in DISGUISE.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        strong = m.lastgroup[0] == "s"
+        if strong or (a < m.start() and b > m.end()) or (m[0] == "@" and (a < m.start() or b > m.end())):
+            yield a, b, "@" if m.lastgroup in ("sat", "wat") else ".", STRONG if strong else WEAK
+            done = b
+
+
 def meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
     """Whether (a, b) meets one of the sorted, non-overlapping ranges."""
     k = bisect_right(spans, (b - 1, 1 << 62))
@@ -189,8 +203,8 @@ def spans_of(tape: Tape | None, base: list[tuple[int, int, int]]) -> list[tuple[
     norm = tape.string()
     found = base_spans(norm)
     spelt = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", norm) if all(h == SPELT for h in tape.how[m.start() : m.end()])]
-    taken = [(a, b) for a, _, b in found]
-    for a, kind, b in found + [s for s in spelt if not any(x < s[2] and s[0] < y for x, y in taken)]:
+    taken = [sorted((a, b) for a, k, b in found if k == kind) for kind in range(4)]
+    for a, kind, b in found + [s for s in spelt if not any(meets(t, s[0], s[2]) for t in taken)]:
         how = tape.how[a:b]
         s, e = tape.starts[a], tape.ends[b - 1]
         if not any(how) and e - s == b - a:
