@@ -33,7 +33,7 @@ def tokenizer_files() -> tuple[str, str]:
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = materialize(packing.tokenize(table(spark, sf_dir, "documents"), *tokenizer_files()), "pieces")
-    return packing.pack(pieces, pieces.count())
+    return packing.pack(pieces)
 
 
 @query
@@ -77,7 +77,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), ts_media.padded().alias("payload"))
-    got = ts_media.from_stream(ts_media.to_stream(docs))
+    got = ts_media.from_stream(materialize(ts_media.to_stream(docs), "media"))
     return got.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),

@@ -11,7 +11,10 @@ counted), reassembles the elementary packets and lists time stamps with the plac
 random access. Bytes that do not start with a sync byte are skipped to the next packet.
 
 Both are columnar: the packets of a document are one numpy array. Null payloads and streams
-count as empty; a payload of no bytes gives a stream with tables only.
+count as empty; a payload of no bytes gives a stream with tables only. No bytes make ``demux`` fail: sections with a
+wrong checksum or too short for their table are counted as bad, packets without a unit start
+are left out. Long payloads are cut into elementary packets of ``PES_BYTES``. Equal rows give
+equal streams, an empty table an empty result; an input column named as an output is replaced.
 """
 
 from __future__ import annotations
@@ -185,12 +188,15 @@ def demux(stream: bytes) -> dict:
         return good
 
     for s in checked(0, 0):
-        for k in range(8, len(s) - 4, 4):
+        for k in range(8, len(s) - 7, 4):
             number, at = struct.unpack_from(">HH", s, k)
             if number:
                 programs[number] = at & 0x1FFF
     for at in dict.fromkeys(programs.values()):
         for s in checked(at, 2):
+            if len(s) < 16:  # too short for what a program map holds
+                n_bad += 1
+                continue
             k = 12 + (struct.unpack_from(">H", s, 10)[0] & 0x0FFF)
             while k + 5 <= len(s) - 4:
                 _, p, info = struct.unpack_from(">BHH", s, k)
@@ -210,7 +216,7 @@ def demux(stream: bytes) -> dict:
         mine = mine[~same]
         gaps += int(((np.diff(grid[mine, 3] & 15) & 15) != 1).sum())
         s_at = np.flatnonzero(start[mine])
-        for a, b in zip(s_at, [*s_at[1:], len(mine)], strict=True):
+        for a, b in zip(s_at, np.append(s_at[1:], len(mine)), strict=False):  # none without a unit start
             rows = mine[a:b]
             k = skip[rows]
             if (k[1:-1] == 4).all() and len(rows) > 2:
@@ -235,9 +241,8 @@ def demux(stream: bytes) -> dict:
     }
 
 
-def _rows(batch: pa.RecordBatch, column: str, made: list[tuple[str, pa.DataType, list]], drop: bool) -> pa.RecordBatch:
-    at = batch.schema.get_field_index(column)
-    keep = [i for i in range(batch.num_columns) if not (drop and i == at)]
+def _rows(batch: pa.RecordBatch, without: set[str], made: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
+    keep = [i for i, n in enumerate(batch.schema.names) if n not in without]
     arrays = [batch.column(i) for i in keep] + [pa.array(v, k) for _, k, v in made]
     return pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep] + [n for n, _, _ in made])
 
@@ -248,20 +253,21 @@ def _slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-def _schema(df: DataFrame, without: str, added: str) -> str:
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != without]
+def _schema(df: DataFrame, without: set[str], added: str) -> str:
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without]
     return ", ".join([*kept, added])
 
 
 def to_stream(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """Replace the binary column ``payload`` by the transport stream ``media``."""
+    without = {payload, media}
 
     def run(batches):
         for b in _slices(batches):
             src = b.column(b.schema.get_field_index(payload)).to_pylist()
-            yield _rows(b, payload, [(media, pa.binary(), [mux(x or b"") for x in src])], True)
+            yield _rows(b, without, [(media, pa.binary(), [mux(x or b"") for x in src])])
 
-    return df.mapInArrow(run, _schema(df, payload, f"`{media}` binary"))
+    return df.mapInArrow(run, _schema(df, without, f"`{media}` binary"))
 
 
 POINT = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("byte", pa.int64())]))
@@ -270,13 +276,14 @@ KINDS = [("payload", pa.binary()), ("programs", pa.list_(pa.int32())), ("stream_
 
 def from_stream(df: DataFrame, media: str = "media") -> DataFrame:
     """Add what ``demux`` finds in the binary column ``media``; the media stays."""
+    without = {n for n, _ in KINDS} - {media}
 
     def run(batches):
         for b in _slices(batches):
             got = [demux(x or b"") for x in b.column(b.schema.get_field_index(media)).to_pylist()]
-            yield _rows(b, media, [(n, k, [g[n] for g in got]) for n, k in KINDS], False)
+            yield _rows(b, without, [(n, k, [g[n] for g in got]) for n, k in KINDS])
 
-    return df.mapInArrow(run, _schema(df, "", DEMUXED))
+    return df.mapInArrow(run, _schema(df, without, DEMUXED))
 
 
 def padded(text: str = "text", block: int = 64):
