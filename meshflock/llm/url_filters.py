@@ -14,7 +14,10 @@ pattern beats ``block`` patterns, and without any the URL is allowed.
 
 The rules are the caller's list, not data; ``RULES_PER_PASS`` of them at most are sent to a
 task at once and longer lists take several passes. Null URLs and URLs without ``://`` have
-an empty host and path and are allowed. Input columns named as an output are replaced.
+an empty host and path and are allowed. Long URLs are matched whole. Of rules of one rank the
+greater pattern decides, so the order of the list does not matter. Rows are judged one by one:
+repeated rows get equal verdicts, and an empty table gives an empty result. Input columns
+named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -115,7 +118,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", counts: dict[str,
     """Add host, path, rule (the deciding site rule), verdict and pattern (the deciding rule's)."""
     counts = token_counts(df, rules, url) if counts is None else counts
     kept = [f for f in df.schema if f.name not in ADDED or f.name == url]
-    out = df.select(*[f.name for f in kept])
+    out = df.select(*[F.col(f"`{f.name}`") for f in kept])
     passes = [rules[i : i + RULES_PER_PASS] for i in range(0, len(rules), RULES_PER_PASS)] or [[]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     text = pa.string()
