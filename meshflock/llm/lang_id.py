@@ -11,8 +11,11 @@ product. Every text is read whole.
 Bounds (parameters): ``each`` training rows per class, ``landmarks`` in all. Only presence
 bits of training rows (``DIM`` / 8 bytes each) reach the driver, never texts.
 
-Null texts and texts without a letter get ``und`` and score 0. With no labelled row every
-text gets ``und``. Input columns named as an output are replaced.
+Null and empty texts and texts without a letter get ``und`` and score 0. With no labelled row
+every text gets ``und``. Of classes with equal scores the first by name is given. Long texts
+are hashed in overlapping parts, whole. Rows are judged one by one, so repeated rows get equal
+predictions; in training, rows with one id and label count once. An empty table gives an empty
+result. Input columns named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -89,7 +92,8 @@ def collect_bits(sample: DataFrame, label: str, key: str) -> tuple[np.ndarray, l
 
 def train(labelled: DataFrame, label: str = "lang", key: str = "doc_id", each: int = 600, landmarks: int = 384, ridge: float = 1.0) -> tuple[list[str], np.ndarray]:
     """Fit on rows with a label and a text (columns key, label, text)."""
-    sample, _ = per_class(labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull()), label, each, key)
+    usable = labelled.where(F.col("text").isNotNull())
+    sample, _ = per_class(usable, usable, label, each, key)
     bits, labels = collect_bits(sample, label, key)
     return fit(bits, labels, landmarks, ridge) if labels else ([], np.zeros((DIM + 1, 0), np.float32))
 

@@ -3,20 +3,25 @@
 Features of a text are the presence of its lower-cased words and of word beginnings of 5 to
 7 letters, hashed. A logistic regression is fitted on a bounded sample of labelled rows.
 Every training sentence that names a group is copied with the term swapped for the other
-terms of its list (``IDENTITIES``), and the squared change of the score between a sentence
-and its copies is added to the loss: the weights of group terms, and of what only goes with
-one of them, cannot carry the label. Terms of one list that the fit did not see weigh 0.
+terms of its list (``IDENTITIES``), and the squared change of the score (its log odds) between
+a sentence and its copies is added to the loss: the weights of group terms, and of what only
+goes with one of them, cannot carry the label. Terms of one list that the fit did not see
+weigh 0.
 
 Bounds (parameters): ``each`` rows of either class are fitted, ``keep`` features used. The
-driver gets hashed feature lists of that sample, no texts. Every text is scored whole.
+driver gets hashed feature lists of that sample and the distinct swaps, no texts. Every text
+is scored whole, however long.
 
 Null and empty texts have the score of a text without features. With labels of one kind or
-none, the score is that share. Input columns named as an output are replaced.
+none, the score is that share. A score of exactly 0.5 is predicted 1. Rows are scored one by
+one, so repeated rows get equal scores; in training, rows with one id and label count once.
+An empty table gives an empty result. Input columns named as an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshflock.llm.sampling import per_class
+from meshflock.runtime import materialize
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -33,7 +39,9 @@ IDENTITIES = (
     ("men", "women"), ("man", "woman"), ("boy", "girl"), ("male", "female"), ("gay", "straight", "lesbian", "bisexual", "queer"), ("transgender", "cisgender"),
     ("black", "white", "asian", "latino", "hispanic", "african", "european", "arab"), ("christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "sikhs", "atheists", "catholics", "protestants"), ("american", "mexican", "chinese", "indian", "russian", "german", "french", "british", "turkish", "polish"),
-    ("immigrant", "refugee", "native", "foreigner"), ("immigrants", "refugees", "natives", "foreigners"), ("disabled", "blind", "deaf"), ("old", "young", "elderly"),
+    ("hombres", "mujeres"), ("hombre", "mujer"), ("hommes", "femmes"), ("homme", "femme"), ("männer", "frauen"), ("mann", "frau"),
+    ("cristianos", "musulmanes", "judíos"), ("chrétiens", "musulmans", "juifs"), ("christen", "muslime", "juden"), ("blancos", "negros"), ("blancs", "noirs"), ("weiße", "schwarze"),
+    ("inmigrantes", "refugiados", "extranjeros"), ("immigrés", "réfugiés", "étrangers"), ("einwanderer", "flüchtlinge", "ausländer"), ("immigrant", "refugee", "native", "foreigner"), ("immigrants", "refugees", "natives", "foreigners"), ("disabled", "blind", "deaf"), ("old", "young", "elderly"),
 )
 SWAPS = {t: tuple(o for o in group if o != t) for group in IDENTITIES for t in group}
 
@@ -54,7 +62,7 @@ def features(found: set[str]) -> set[int]:
     return {number(f) for w in found for f in of_word(w)}
 
 
-def counterfactuals(text: str) -> list[tuple[list[int], list[int]]]:
+def counterfactuals(text: str) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     """(features that a swap adds, features that it takes away) for every swapped sentence."""
     out = []
     low = text.lower()
@@ -67,11 +75,11 @@ def counterfactuals(text: str) -> list[tuple[list[int], list[int]]]:
             base = features(have) if base is None else base
             for other in SWAPS[term]:
                 new = features((have - {term}) | {other})
-                out.append((sorted(new - base), sorted(base - new)))
+                out.append((tuple(sorted(new - base)), tuple(sorted(base - new))))
     return out
 
 
-def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int]]], keep: int = 4000, ridge: float = 1.0, fairness: float = 10.0, rounds: int = 60) -> tuple[dict[int, float], float]:
+def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int], int]], keep: int = 4000, ridge: float = 1.0, fairness: float = 10.0, rounds: int = 60) -> tuple[dict[int, float], float]:
     """Weights by hashed feature, and the intercept. ``flat`` has the features of all rows in
     turn, ``lengths`` their numbers."""
     total = max(weights.sum(), 1e-9)
@@ -92,8 +100,9 @@ def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.n
     ok = place[col] >= 0
     row, col = at[ok], place[col[ok]]
     index = {int(ids[c]): k for k, c in enumerate(chosen)}
-    d_row = [(k, index[f], s) for k, (add, gone) in enumerate(pairs) for s, fs in ((1.0, add), (-1.0, gone)) for f in fs if f in index]
+    d_row = [(k, index[f], s) for k, (add, gone, _) in enumerate(pairs) for s, fs in ((1.0, add), (-1.0, gone)) for f in fs if f in index]
     pr, pc, ps = (np.array(x) for x in zip(*d_row, strict=True)) if d_row else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    times = np.array([n for _, _, n in pairs], float)
     w, b = np.zeros(len(chosen)), float(np.log(rate / (1 - rate)))
     # per-coordinate scaled gradient steps (Adam), fixed number, no randomness
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -102,7 +111,7 @@ def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.n
         err = weights * (p - labels)
         g = np.bincount(col, err[row], len(w)) + ridge * w
         if len(pr):
-            change = np.bincount(pr, ps * w[pc], len(pairs))
+            change = times * np.bincount(pr, ps * w[pc], len(pairs))
             g += fairness * np.bincount(pc, ps * change[pr], len(w))
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -116,23 +125,27 @@ def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.n
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", each: int = 4000, **options) -> tuple[dict[int, float], float]:
     """Fit on texts of ``docs`` (columns key, text) with a 0/1 label in ``labels`` (key, label).
 
-    The sample is taken from the labels alone. It holds at most ``3 * each`` keys, so it is
-    broadcast to the texts, which are not shuffled."""
+    The sample is taken from the labels alone. It holds at most ``2 * each`` keys, which are
+    broadcast to the texts; those are not shuffled."""
     rows = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias(label))
-    sample, shares = per_class(rows, label, each, key)
-    sample = sample.orderBy(F.xxhash64(F.lit("bound"), key), label).limit(3 * each)
-    sample = docs.select(key, "text").join(F.broadcast(sample), key).select(key, label, "text")
+    sample, shares = per_class(docs, rows, label, each, key)
+    sample = materialize(sample, "sample")
 
-    def run(batches):
+    def found_in(batches):
+        for b in batches:
+            found = [sorted(features(words(t or ""))) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["k", "label", "found"])
+
+    def swapped_in(batches):
         for b in batches:
-            got = [(sorted(features(words(t or ""))), counterfactuals(t or "")) for t in b.column(2).to_pylist()]
-            pair = pa.list_(pa.struct([("add", pa.list_(pa.int64())), ("gone", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.string()), b.column(1), pa.array([f for f, _ in got], pa.list_(pa.int64())), pa.array([[{"add": a, "gone": g} for a, g in c] for _, c in got], pair)],
-                names=["k", "label", "found", "pairs"],
-            )
-
-    got = sample.mapInArrow(run, "k string, label int, found array<long>, pairs array<struct<add:array<long>,gone:array<long>>>").toArrow()
+            n = Counter(pair for t in b.column(2).to_pylist() if t for pair in counterfactuals(t))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in n], lists), pa.array([g for _, g in n], lists), pa.array(list(n.values()), pa.int64())], names=["add", "gone", "n"])
+
+    # a swap's features hardly depend on the sentence: the driver gets each with its number of sentences
+    pairs = sample.mapInArrow(swapped_in, "add array<long>, gone array<long>, n long").groupBy("add", "gone").agg(F.sum("n").alias("n"))
+    pairs = sorted((r["add"], r["gone"], r["n"]) for r in pairs.toArrow().to_pylist())
+    got = sample.mapInArrow(found_in, "k string, label int, found array<long>").toArrow()
     got = got.sort_by([("k", "ascending"), ("label", "ascending")]).combine_chunks()
     labels = got.column("label").to_numpy().astype(float)
     weights = np.array([1 / shares[int(x)] for x in labels])
@@ -141,7 +154,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     found = got.column("found").combine_chunks()
     flat = found.flatten().to_numpy(zero_copy_only=False)
     lengths = found.value_lengths().to_numpy(zero_copy_only=False)
-    pairs = [(p["add"], p["gone"]) for row in got.column("pairs").to_pylist() for p in row]
     return fit(flat, lengths, labels, weights, pairs, **options)
 
 
