@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,7 @@ def of_word(word: str) -> list[str]:
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], label: str = "domain", key: str = "doc_id", each: int = 2500) -> list[tuple[dict[int, float], float] | None]:
     """One logistic model per domain (None where no row has it); ``labels`` has key and label."""
     rows = labels.where(F.col(label).isin(*domains)).select(key, label)
-    sample, shares = per_class(rows, label, each, key)
-    sample = sample.orderBy(F.xxhash64(F.lit("bound"), key), label).limit((len(domains) + 1) * each)
-    sample = docs.select(key, "text").join(F.broadcast(sample), key).select(key, label, "text")
+    sample, shares = per_class(docs, rows, label, each, key)
 
     def run(batches):
         for b in batches:
@@ -58,46 +57,82 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], label: str = "
     got = sample.mapInArrow(run, "k string, label string, found array<long>").toArrow().sort_by([("k", "ascending"), ("label", "ascending")]).combine_chunks()
     names = np.array(got.column("label").to_pylist(), object)
     found = got.column("found").combine_chunks()
-    flat, lengths = found.flatten().to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False)
-    weights = np.array([1 / shares[n] for n in names])
-    if len(weights):
-        weights *= len(weights) / weights.sum()
-    return [fit_logistic(flat, lengths, (names == d).astype(float), weights, [], keep=3000) if (names == d).any() else None for d in domains]
+    return fit_models(found.flatten().to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False), names, np.array([1 / shares[n] for n in names]), domains)
+
+
+def fit_models(flat: np.ndarray, lengths: np.ndarray, names: np.ndarray, weights: np.ndarray, domains: list[str], doubt: float = 0.25, rounds: int = 4) -> list[tuple[dict[int, float], float] | None]:
+    """Models of labelled rows, of which some are labelled wrongly: rows whose own label has a
+    posterior below ``doubt`` are left out and the models fitted again, until the same rows stay."""
+    own = np.repeat(np.arange(len(names)), lengths)
+    use = np.ones(len(names), bool)
+
+    def models():
+        w = weights[use] * use.sum() / max(weights[use].sum(), 1e-300)
+        return [fit_logistic(flat[use[own]], lengths[use], (names[use] == d).astype(float), w, [], keep=3000, ridge=0.3) if (names[use] == d).any() else None for d in domains]
+
+    for _ in range(rounds):
+        fitted = models()
+        place, by_domain, start = joined(fitted)
+        col = np.array([place.get(f, -1) for f in flat.tolist()], np.int64)
+        p = posterior(by_domain, start, own[col >= 0], col[col >= 0], len(names))
+        sure = p[np.arange(len(names)), [domains.index(n) for n in names]] >= doubt
+        # a domain of which no row would be left keeps all
+        for d in domains:
+            sure |= (names == d) & ~(sure & (names == d)).any()
+        if (sure == use).all():
+            return fitted
+        use = sure
+    return models()
+
+
+def joined(models: list) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """Places of the features of all models, their weights by place and domain, the intercepts."""
+    place = {f: k for k, f in enumerate(sorted({f for m in models if m for f in m[0]}))}
+    weights = np.zeros((len(place), len(models)))
+    for k, m in enumerate(models):
+        for f, w in (m[0] if m else {}).items():
+            weights[place[f], k] = w
+    return place, weights, np.array([m[1] if m else -np.inf for m in models])
+
+
+def posterior(weights: np.ndarray, start: np.ndarray, own: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+    """Posteriors of ``n`` texts that have features ``col`` in texts ``own``."""
+    z = np.clip(start + np.stack([np.bincount(own, weights[col, k], n) for k in range(len(start))], 1), -30, 30)
+    p = np.where(np.isfinite(start), 1 / (1 + np.exp(-z)), 0.0)
+    return p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+
+
+class Places(dict):
+    """Word to the places of its features that have a weight; ``limit`` words are remembered."""
+
+    def __init__(self, place: dict[int, int], limit: int):
+        self.place, self.limit = place, limit
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        hit = tuple(self.place[n] for n in map(number, of_word(word)) if n in self.place)
+        if len(self) < self.limit:
+            self[word] = hit
+        return hit
 
 
 def posteriors(docs: DataFrame, models: list, domains: list[str], remember: int = 300_000) -> DataFrame:
     """doc_id, tokens and one column p_<domain> each."""
+    place, weights, start = joined(models)
 
     def run(batches):
-        known: dict[str, tuple] = {}
-        index: dict[int, np.ndarray] = {}
-        for k, m in enumerate(models):
-            for f, w in (m[0] if m else {}).items():
-                index.setdefault(f, np.zeros(len(models)))[k] = w
-        start = np.array([m[1] if m else -np.inf for m in models])
-
-        def of(word):
-            hit = tuple(n for n in map(number, of_word(word)) if n in index)
-            if len(known) < remember:
-                known[word] = hit
-            return hit
-
+        places = Places(place, remember)
+        look = places.__getitem__
         for b in batches:
-            z, tokens = [], []
+            tokens, flat, ends = [], [], []
             for t in b.column(1).to_pylist():
-                words = (t or "").split()
-                hits: set[int] = set()
-                for w in set(words):
-                    h = known.get(w)
-                    if h is None:
-                        h = of(w)
-                    if h:
-                        hits.update(h)
+                words = t.split() if t else ()
                 tokens.append(len(words))
-                z.append(start + sum((index[n] for n in sorted(hits)), np.zeros(len(models))))
-            z = np.clip(np.array(z).reshape(-1, len(models)), -30, 30)
-            p = np.where(np.isfinite(start), 1 / (1 + np.exp(-z)), 0.0)
-            p = p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+                flat.extend(chain.from_iterable(map(look, set(words))))
+                ends.append(len(flat))
+            # every feature once a text, texts one after the other: sums do not depend on the order of a set
+            own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            own, col = np.divmod(np.unique(own * max(1, len(place)) + np.array(flat, np.int64)), max(1, len(place)))
+            p = posterior(weights, start, own, col, len(ends))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), *(pa.array(p[:, k].round(9)) for k in range(len(models)))], names=["doc_id", "tokens", *[f"p_{d}" for d in domains]])
 
     schema = "doc_id long, tokens long, " + ", ".join(f"`p_{d}` double" for d in domains)

@@ -8,12 +8,12 @@ from meshflock.llm.queries import QUERIES
 D = "/root/testdata/sf0.01"
 
 
-def brute(t, p, want, most, rounds=4000):
-    """Projected gradient with the rates of all documents in memory."""
+def brute(t, p, want, most, rounds=20_000):
+    """Projected gradient on all rates in memory; every domain's gap weighs alike."""
     r = np.ones(len(t))
-    w = np.linalg.pinv((t[:, None] * p).T @ p, rcond=1e-9)
+    step = 1 / np.linalg.eigvalsh((t[:, None] * p).T @ p).max()
     for _ in range(rounds):
-        r = np.clip(r - p @ (w @ ((t * r) @ p - want)), 0, most)
+        r = np.clip(r - p @ (step * ((t * r) @ p - want)), 0, most)
     return r
 
 
@@ -27,13 +27,11 @@ def test_rates_match_targets(spark, targets, budget):
     want = np.array(list(targets.values())) * t.sum() * budget
     r = brute(t, p, want, 8.0)
     assert (got.r >= 0).all()
-    w = np.linalg.pinv((t[:, None] * p).T @ p, rcond=1e-9)
 
-    def loss(r):  # what is fitted, by the size of the corpus
-        gap = (t * r) @ p - want
-        return gap @ w @ gap / t.sum()
+    def gap(r):  # what is fitted, by the size asked for
+        return np.linalg.norm((t * r) @ p - want) / want.sum()
 
-    assert loss(got.r.to_numpy()) <= loss(r) + 2e-3
+    assert gap(got.r.to_numpy()) <= gap(r) + 2e-3
 
 
 def test_query(spark):
@@ -47,12 +45,52 @@ def test_query(spark):
     assert x[x.domain == "toxic"].rate.mean() < 0.7 * x[x.domain == "clean"].rate.mean()
 
 
-@pytest.mark.xfail(reason="open: 96.3 % at sf0.01; the classifier takes 11 of 299 clean labelled documents for junk or toxic")
-def test_clean_documents_stay(spark):
-    rows = QUERIES["op4_mixing"](spark, D).toPandas()
-    labels = m.domain_labels(spark.read.parquet(f"{D}/labels.parquet")).toPandas().set_index("doc_id").domain
+@pytest.mark.parametrize("d", [D, "/root/testdata/sf0.001"])
+def test_clean_documents_stay(spark, d):
+    rows = QUERIES["op4_mixing"](spark, d).toPandas()
+    labels = m.domain_labels(spark.read.parquet(f"{d}/labels.parquet")).toPandas().set_index("doc_id").domain
     x = rows.join(labels, on="doc_id", how="inner")
     assert (x[x.domain == "clean"].copies >= 1).mean() > 0.99
+    total = rows.tokens.sum() * m.BUDGET
+    for d, w in m.TARGETS.items():
+        assert abs((rows.tokens * rows.rate * rows[f"p_{d}"]).sum() / total - w) < 0.005, d
+
+
+def test_wrong_labels_are_left_out():
+    """Rows of kind a have feature 1, of kind b feature 2; three of b are called a."""
+    flat = np.array([1] * 40 + [2] * 43)
+    names = np.array(["a"] * 40 + ["b"] * 40 + ["a"] * 3, object)
+    a, b = m.fit_models(flat, np.ones(83, int), names, np.ones(83), ["a", "b"])
+    want = m.fit_models(flat[:80], np.ones(80, int), names[:80], np.ones(80), ["a", "b"])
+    assert (a, b) == tuple(want)
+    # a domain of whose rows none would be left keeps them
+    names = np.array(["a"] * 40 + ["b"] * 40 + ["c"] * 3, object)
+    assert m.fit_models(flat, np.ones(83, int), names, np.ones(83), ["a", "b", "c"])[2] is not None
+
+
+def test_posteriors_equal_a_plain_sum(spark):
+    """Whole texts scored word by word: long, empty, with repeated words."""
+    rng = np.random.default_rng(1)
+    vocab = [f"Word{i}." for i in range(200)]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (0, 1, 5, 50, 4000)] + [None, "x " * 100_000]
+    feats = sorted({f for w in vocab for f in m.of_word(w)})
+    models = [({m.number(f): float(x) for f, x in zip(feats, rng.normal(size=len(feats)) * 0.1, strict=True)}, float(b)) for b in (0.3, -1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for remember in (3, 1000):
+        for r in m.posteriors(df, models, ["a", "b"], remember).collect():
+            found = {m.number(f) for w in (texts[r.doc_id] or "").split() for f in m.of_word(w)}
+            p = [1 / (1 + np.exp(-np.clip(b + sum(w.get(f, 0) for f in found), -30, 30))) for w, b in models]
+            assert abs(r.p_a - p[0] / sum(p)) < 1e-8 and r.tokens == len((texts[r.doc_id] or "").split())
+
+
+def test_sample_is_bounded_for_repeated_ids(spark):
+    """One id in 5,000 rows of either table, ties, a class with less rows than asked for."""
+    docs = spark.createDataFrame([(7, f"t{i % 10}") for i in range(5000)] + [(i, "u") for i in range(100, 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, "a")] * 5000 + [(i, "b") for i in range(100, 400)] + [(None, "a"), (9, None), (8, "c")], "doc_id long, domain string")
+    sample, shares = m.per_class(docs, labels, "domain", 100)
+    rows = sample.collect()
+    assert [(r.doc_id, r.text) for r in rows if r.domain == "a"] == [(7, "t0")]
+    assert sum(r.domain == "b" for r in rows) == 100 and shares == {"a": 1.0, "b": 1 / 3, "c": 1.0}
 
 
 def test_edges(spark):

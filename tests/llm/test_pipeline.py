@@ -37,10 +37,40 @@ def test_stages(spark):
                 assert r.n_chars == len(r.text) and not any(k in (0, 3) for _, k, _ in spans(r.text))
         if name == "mixture":
             assert {r.doc_id for r in rows} <= before.keys() and all(r == before[r.doc_id] for r in rows)
-            few = len({r.doc_id for r in rows}) <= 0.8 * len(before)
+            assert len({r.doc_id for r in rows}) > 0.9 * len(before)
         if name == "packing":
             assert {r.doc_id for r in rows} == before.keys()
         docs, before = out, {r.doc_id: r for r in rows} if name != "packing" else None
     assert cp.run(spark, D).count() == len(rows)
-    if few:
-        pytest.xfail("open: the mixture keeps 121 of 152 documents here; its classifier has few labelled rows")
+
+
+ODD = ["a.b", "_doc", "_id", "_text", "_copies", "_source", "masked", "spans", "n_words", "quality", "kept", "copies", "_nth"]
+
+
+def test_edges_of_every_stage(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names."""
+    good = " ".join(f"Word{i} came, number{i * 7} left and place{i % 23} stayed as plain{i} as before{i}." for i in range(40))
+    long = " ".join(f"w{i} x{i % 77}." for i in range(60_000))
+    texts = [(1, good), (1, good), (2, good), (3, None), (4, ""), (None, good), (None, None), (5, long), (6, long + " end."), (1, good + " Another text of one id."), (7, "mail me: a@b.example " + good[20:])]
+    rows = [(d, t, "en" if d else None, None, len(t) if t else None, *[f"{c}{d}" for c in ODD]) for d, t in texts]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, D).collect()
+        assert stage(spark, docs.limit(0), D).count() == 0, name
+        if name == "packing":
+            assert len(out) >= len(rows)
+            continue
+        old = {(r[0], *r[5:]) for r in rows}
+        assert out and all((r[0], *r[5:]) in old for r in out), name
+        ids = [r.doc_id for r in out]
+        if name == "quality rules":
+            assert {3, 4} & set(ids) == set() and {1, 2, 5} <= set(ids) and None in ids
+        if name == "near duplicates":
+            # of group 1 and 2, with two texts under id 1, and of 5 and 6 the first stays
+            assert sorted(i for i in ids if i is not None) == [1, 1, 3, 4, 5, 7] and ids.count(None) == 2
+        if name == "personal data":
+            assert len(out) == len(rows) and [r.text for r in out if r.doc_id == 7][0].startswith("mail me: [email]")
+            assert all(r.text is None and r.n_chars is None for r in out if r.doc_id == 3)
+        if name == "mixture":
+            assert set(ids) <= {r[0] for r in rows} and None in ids
