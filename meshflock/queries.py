@@ -393,7 +393,7 @@ def holm_adjust(spark, d):
 
 @query()
 def dynamic_report(spark, d):
-    return sessions.replay(updates(V(spark, d)), verify=True)
+    return sessions.replay(updates(V(spark, d)), check=True)
 
 
 @query()

@@ -1,46 +1,49 @@
-"""Synthetic point families, standardised, with labels (-1: noise or bridge)."""
+"""Synthetic point families, in units of their spread, with labels (-1: noise or bridge).
 
-from __future__ import annotations
-
-import numpy as np
-
-
-def standardize(p: np.ndarray) -> np.ndarray:
-    spread = p.std(axis=0)
-    return (p - p.mean(axis=0)) / np.where(spread < 1e-12, 1.0, spread)
+A family is a table of parts; one builder draws them in the order of the table.
+"""
 
+from __future__ import annotations
 
-def _clouds(rng, parts) -> tuple[list, list]:
-    """Normal clouds: (centre, spread, size, label), drawn in turn."""
-    return [rng.normal(c, s, size=(n, 2)) for c, s, n, _ in parts], [np.full(n, float(k)) for _, _, n, k in parts]
+from functools import partial
 
+import numpy as np
 
-def spiral(seed: int, n: int = 1200):
-    rng = np.random.default_rng(seed)
-    t = np.linspace(0.2, 4.0 * np.pi, n // 2)
-    arm = np.c_[t * np.cos(t), t * np.sin(t)]
-    noise = rng.normal(0, 0.45, size=(2 * len(t), 2))
-    return standardize(np.vstack([arm, -arm]) + noise), np.repeat([0.0, 1.0], len(t))
+# The published families. A part is (shape, place, spread, number of points, label);
+# the order of parts is the order in which random numbers are drawn.
+TURNS = (0.2, 4.0 * np.pi)  # of an arm: its angle, which is its radius too
+PARTS = {
+    "spiral": (("arm", 1.0, 0.45, 600, 0), ("arm", -1.0, 0.45, 600, 1)),
+    "varying_density": (("cloud", (-2.0, 0.0), (0.18, 0.18), 500, 0), ("cloud", (1.2, 0.0), (0.65, 0.65), 900, 1), ("cloud", (0.0, 2.0), (0.32, 0.75), 500, 2)),
+    "touching": (("cloud", (-0.55, 0.0), (0.42, 0.18), 700, 0), ("cloud", (0.55, 0.0), (0.42, 0.18), 700, 1), ("cloud", (0.0, 0.0), (0.05, 0.05), 40, -1)),
+    "chain_noise": (("cloud", (-2.0, 0.0), 0.22, 500, 0), ("cloud", (2.0, 0.0), 0.22, 500, 1), ("bridge", (-1.45, 1.45), 0.035, 80, -1)),
+}
 
 
-def varying_density(seed: int):
-    p, k = _clouds(np.random.default_rng(seed), [([-2.0, 0.0], [0.18, 0.18], 500, 0), ([1.2, 0.0], [0.65, 0.65], 900, 1), ([0.0, 2.0], [0.32, 0.75], 500, 2)])
-    return standardize(np.vstack(p)), np.concatenate(k)
+def in_spreads(points: np.ndarray) -> np.ndarray:
+    """Points about their mean, each coordinate by its spread; one without a spread stays 0."""
+    off = points - points.mean(axis=0)
+    spread = np.sqrt((off * off).mean(axis=0))
+    return np.divide(off, spread, out=np.zeros_like(off), where=spread >= 1e-12)
 
 
-def touching(seed: int):
-    p, k = _clouds(np.random.default_rng(seed), [([-0.55, 0.0], [0.42, 0.18], 700, 0), ([0.55, 0.0], [0.42, 0.18], 700, 1), ([0.0, 0.0], [0.05, 0.05], 40, -1)])
-    return standardize(np.vstack(p)), np.concatenate(k)
+def _draw(rng: np.random.Generator, shape: str, place, spread, n: int) -> np.ndarray:
+    if shape == "arm":  # the second arm is the first one turned by half a circle
+        angle = np.linspace(*TURNS, n)
+        curve = place * angle * np.exp(1j * angle)
+        return np.stack([curve.real, curve.imag], axis=1) + rng.normal(0, spread, size=(n, 2))
+    if shape == "bridge":  # evenly along the first axis
+        return np.stack([np.linspace(*place, n), rng.normal(0, spread, size=n)], axis=1)
+    return rng.normal(place, spread, size=(n, 2))
 
 
-def chain_noise(seed: int):
+def family(name: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    p, k = _clouds(rng, [([-2.0, 0.0], 0.22, 500, 0), ([2.0, 0.0], 0.22, 500, 1)])
-    along = np.linspace(-1.45, 1.45, 80)
-    return standardize(np.vstack([*p, np.c_[along, rng.normal(0, 0.035, size=80)]])), np.concatenate([*k, np.full(80, -1.0)])
+    drawn = [_draw(rng, *part[:4]) for part in PARTS[name]]
+    return in_spreads(np.concatenate(drawn)), np.repeat([float(part[4]) for part in PARTS[name]], [part[3] for part in PARTS[name]])
 
 
-FAMILIES = {"spiral": spiral, "varying_density": varying_density, "touching": touching, "chain_noise": chain_noise}
+FAMILIES = {name: partial(family, name) for name in PARTS}
 
 
 def moons(seed: int, n: int = 1200, noise: float = 0.07):
@@ -48,7 +51,7 @@ def moons(seed: int, n: int = 1200, noise: float = 0.07):
     rng = np.random.default_rng(seed)
     t = np.linspace(0, np.pi, n // 2)
     p = np.vstack([np.c_[np.cos(t), np.sin(t)], np.c_[1 - np.cos(t), 0.5 - np.sin(t)]])
-    return standardize(p + rng.normal(0, noise, p.shape)), np.repeat([0.0, 1.0], n // 2)
+    return in_spreads(p + rng.normal(0, noise, p.shape)), np.repeat([0.0, 1.0], n // 2)
 
 
 def circles(seed: int, n: int = 1200, noise: float = 0.04, factor: float = 0.42):
@@ -57,20 +60,22 @@ def circles(seed: int, n: int = 1200, noise: float = 0.04, factor: float = 0.42)
     t = np.linspace(0, 2 * np.pi, n // 2, endpoint=False)
     ring = np.c_[np.cos(t), np.sin(t)]
     p = np.vstack([ring, factor * ring])
-    return standardize(p + rng.normal(0, noise, p.shape)), np.repeat([0.0, 1.0], n // 2)
+    return in_spreads(p + rng.normal(0, noise, p.shape)), np.repeat([0.0, 1.0], n // 2)
 
 
 def anisotropic(seed: int, n: int = 1500):
     """Three sheared clouds."""
-    p, k = _clouds(np.random.default_rng(seed), [([-6.0, -4.0], 1.0, n // 3, 0), ([0.0, 3.0], 1.0, n // 3, 1), ([6.0, -2.0], 1.0, n // 3, 2)])
-    return standardize(np.vstack(p) @ np.array([[0.6, -0.6], [-0.4, 0.8]])), np.concatenate(k)
+    centres = ((-6.0, -4.0), (0.0, 3.0), (6.0, -2.0))
+    rng = np.random.default_rng(seed)
+    p = np.concatenate([_draw(rng, "cloud", c, 1.0, n // 3) for c in centres])
+    return in_spreads(p @ np.array([[0.6, -0.6], [-0.4, 0.8]])), np.repeat([0.0, 1.0, 2.0], n // 3)
 
 
 def uniform_noise(seed: int, n: int = 1200, extra: int = 250):
     """Four clouds among evenly spread points."""
     rng = np.random.default_rng(seed)
-    p, k = _clouds(rng, [([x, y], 0.5, n // 4, i) for i, (x, y) in enumerate([(-4, -4), (-4, 4), (4, -4), (4, 4)])])
-    return standardize(np.vstack([*p, rng.uniform(-7, 7, (extra, 2))])), np.concatenate([*k, np.full(extra, -1.0)])
+    p = [_draw(rng, "cloud", (x, y), 0.5, n // 4) for x in (-4, 4) for y in (-4, 4)]
+    return in_spreads(np.concatenate([*p, rng.uniform(-7, 7, (extra, 2))])), np.concatenate([np.repeat(np.arange(4.0), n // 4), np.full(extra, -1.0)])
 
 
 MORE_FAMILIES = {"moons": moons, "circles": circles, "anisotropic": anisotropic, "uniform_noise": uniform_noise}

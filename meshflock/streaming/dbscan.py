@@ -1,4 +1,9 @@
-"""Incremental DBSCAN over one session: exact inserts, and deletes either exact or grow-only."""
+"""Incremental DBSCAN over one session: exact inserts, and deletes either exact or grow-only.
+
+A grow-only delete takes the point out of later searches and nothing else: neighbours keep
+their counts and core flags, and clusters stay joined. It drifts from the exact state, which
+is what it is there to show.
+"""
 
 from __future__ import annotations
 
@@ -64,35 +69,52 @@ class Dbscan:
                     self.join(n, m)
 
     def nearest(self, x: float, y: float) -> int | None:
-        return min(self.at, key=lambda k: ((self.at[k][0] - x) ** 2 + (self.at[k][1] - y) ** 2, k), default=None)
+        """The nearest point, of equally near ones the first: rings of cells outwards, until no
+        farther ring can hold a nearer one, or the rings are more than the cells in use."""
+        def distance(k):
+            return (self.at[k][0] - x) ** 2 + (self.at[k][1] - y) ** 2, k
+
+        cx, cy = self.cell((x, y))
+        best, ring = None, 0
+        while self.at and 8 * ring * ring <= len(self.cells) + 8:
+            spots = {(cx + i, cy + j) for i in range(-ring, ring + 1) for j in ((-ring, ring) if abs(i) < ring else range(-ring, ring + 1))}
+            found = min((distance(k) for spot in spots for k in self.cells.get(spot, ())), default=None)
+            best = min((b for b in (best, found) if b is not None), default=None)
+            if best is not None and best[0] < (ring * self.eps) ** 2:
+                return best[1]
+            ring += 1
+        return min(map(distance, self.at), default=(None, None))[1]
 
     def delete(self, x: float, y: float) -> int | None:
         k = self.nearest(x, y)
         if k is None:
             return None
         p = self.at[k]
+        self.cells[self.cell(p)].discard(k)
+        if not self.cells[self.cell(p)]:
+            del self.cells[self.cell(p)]
+        if not self.exact:
+            del self.at[k]
+            return k
         near = self.near(p, k)
         lost = {n for n in [k] if n in self.core}
-        touched = {self.find(n) for n in [k, *near] if n in self.core} if self.exact else set()
+        touched = {self.find(n) for n in [k, *near] if n in self.core}
         for n in near:
             self.count[n] -= 1
             if n in self.core and self.count[n] + 1 < self.min_pts:
                 lost.add(n)
         self.core -= lost
-        if self.exact and touched:  # the clusters that lost something are joined afresh
+        if touched:  # the clusters that lost something are joined afresh
             members = [m for m in self.up if self.find(m) in touched]
             for m in members:
                 self.up[m] = m
-        self.cells[self.cell(p)].discard(k)
-        del self.at[k], self.count[k]
-        if self.exact:
-            del self.up[k]
-            if touched:
-                for m in members:
-                    if m in self.core:
-                        for n in self.near(self.at[m], m):
-                            if n in self.core:
-                                self.join(m, n)
+        del self.at[k], self.count[k], self.up[k]
+        if touched:
+            for m in members:
+                if m in self.core:
+                    for n in self.near(self.at[m], m):
+                        if n in self.core:
+                            self.join(m, n)
         return k
 
     def move(self, x: float, y: float, nx: float, ny: float) -> None:

@@ -7,7 +7,8 @@ from meshflock.plans.model import Fit, Options
 from meshflock.plans.triangulation import delaunay_edges
 from meshflock.sources.points import assign, load_model, read_points, read_updates, save_model
 from meshflock.streaming.dbscan import Dbscan
-from meshflock.streaming.sessions import REPORT, Session
+from meshflock.streaming import verify
+from meshflock.streaming.sessions import REPORT, NetDelta, Session, _play
 
 
 def frame(spark, x, y):
@@ -93,7 +94,7 @@ def play(s, seed, n):
 
 @pytest.mark.parametrize("mode", ["local_scale", "raw_length"])
 def test_sessions_stay_exact(mode):
-    s = Session(Options(threshold_mode=mode), verify=True).base(blobs())
+    s = Session(Options(threshold_mode=mode), check=True).base(blobs())
     rows = play(s, 20260618, 60)
     assert sum(r["verification_checked"] for r in rows) >= 55 and not any(r["verification_mismatches"] for r in rows)
     assert set(rows[0]) == set(REPORT)
@@ -102,7 +103,7 @@ def test_sessions_stay_exact(mode):
 
 
 def test_coincident_and_empty():
-    s = Session(verify=True)
+    s = Session(check=True)
     assert s.apply("delete", 0, 0)["affected_cells"] == 0
     assert s.apply("insert", 0, 0)["verification_mismatches"] == 0
     assert s.apply("insert", 0, 0)["verification_checked"] == 0  # on an existing point
@@ -150,3 +151,103 @@ def test_exact_dbscan(seed):
 
 def test_session_fit_needs_no_edges():
     assert Fit([0.0, 1.0], [0.0, 0.0]).label.tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grow_only_dbscan(seed):
+    """Deletes change no count, core flag or join; inserts see present points only."""
+    d = Dbscan(0.5, 3, exact=False)
+    for x in (0, 0.1, 0.2):
+        d.insert(x, 0)
+    d.delete(0.2, 0)
+    assert d.labels() == {0: 0, 1: 0}
+    rng = np.random.default_rng(seed)
+    d = Dbscan(0.6, 4, exact=False)
+    at, count, core, joined = {}, {}, set(), []
+    for _ in range(300):
+        x, y = rng.uniform(-2, 2, 2).tolist()
+        k = len(count)
+        if rng.random() < 0.7 or not at:
+            d.insert(x, y)
+            near = [j for j, q in at.items() if (q[0] - x) ** 2 + (q[1] - y) ** 2 <= 0.36]
+            at[k], count[k] = (x, y), len(near)
+            for j in near:
+                count[j] += 1
+            for c in [c for c in (k, *near) if c not in core and count[c] + 1 >= 4]:
+                core.add(c)
+            for c in (k, *near):
+                if c in core:
+                    joined += [(c, j) for j, q in at.items() if j in core and (q[0] - at[c][0]) ** 2 + (q[1] - at[c][1]) ** 2 <= 0.36]
+        else:
+            j = min(at, key=lambda j: ((at[j][0] - x) ** 2 + (at[j][1] - y) ** 2, j))
+            assert d.delete(x, y) == j
+            del at[j]
+    assert set(d.at) == set(at) and d.core == core
+    root = {k: k for k in count}
+    for _ in root:
+        for a, b in joined:
+            root[a] = root[b] = min(root[a], root[b])
+    lab = d.labels()
+    cores = [k for k in at if k in core]
+    assert all((lab[a] == lab[b]) == (root[a] == root[b]) for a in cores for b in cores)
+    far = Dbscan(0.01, 2)
+    far.insert(5, 5)
+    far.insert(-900, 3)
+    assert far.nearest(-100, 0) == 0 and far.nearest(-800, 0) == 1
+
+
+def test_ids_go_to_the_cluster_with_most_members():
+    s = Session()
+    s.label = {i: 0 if i < 8 else 1 for i in range(18)}
+    s._name({i: 5 if 5 <= i < 8 else 3 for i in range(18)})
+    assert {s.label[i] for i in range(5, 8)} == {2} and s.label[0] == s.label[17] == 1
+
+
+def test_late_operations_are_reported():
+    from types import SimpleNamespace
+
+    row = lambda seq, x: SimpleNamespace(session="a", seq=seq, op="insert", x=x, y=0.0, new_x=None, new_y=None)
+    s = Session()
+    got = _play(s, [row(5, 1.0), row(6, 2.0)]) + _play(Session.restore(s.state(), s.o), [row(3, 9.0), row(7, 3.0)])
+    assert [(r["seq"], r["operation"]) for r in got] == [(5, "insert"), (6, "insert"), (3, "rejected"), (7, "insert")]
+
+
+@pytest.mark.parametrize("mode", ["local_scale", "raw_length"])
+def test_verifier_finds_wrong_states(mode):
+    s = Session(Options(threshold_mode=mode)).base(blobs())
+    assert s.mismatches() == 0
+    f = s.fit
+    s.label = dict.fromkeys(s.label, 0)
+    assert s.mismatches() > 0
+    s._refit()
+    s.fit.retained = ~s.fit.retained
+    assert s.mismatches() > 0
+    f.u, f.v, f.retained = f.u[1:], f.v[1:], f.retained[1:]
+    assert verify.wrong_edges(f.x, f.y, f.u, f.v) > 0
+    x, y = np.array([0.0, 2.0, 1.0, 1.0]), np.array([0.0, 0.0, 0.3, -5.0])
+    e = delaunay_edges(x, y)
+    assert verify.wrong_edges(x, y, e[:, 0], e[:, 1]) == 0
+    swapped = np.array([[2, 3] if p == [0, 1] else p for p in e.tolist()])
+    assert verify.wrong_edges(x, y, swapped[:, 0], swapped[:, 1]) > 0
+    line = np.arange(4.0)
+    assert verify.wrong_edges(line, line, np.arange(3), np.arange(1, 4)) == 0
+
+
+def test_state_table_goes_on_after_a_restart(spark, tmp_path):
+    """Two batches with a restart between them, the second one played twice."""
+    cols = "session string, seq long, op string, x double, y double, new_x double, new_y double"
+    rng = np.random.default_rng(3)
+    ops = [("a" if i % 3 else "b", i, "insert", *rng.normal(size=2).tolist(), None, None) for i in range(60)]
+    one, two = (spark.createDataFrame(p, cols) for p in (ops[:30], ops[30:]))
+    NetDelta(str(tmp_path))(one, 0)
+    for _ in range(2):
+        NetDelta(str(tmp_path))(two, 1)
+    net = NetDelta(str(tmp_path))
+    assert net.committed(spark) == [0, 1]
+    got = {r.session: (r.ids, r.xs) for r in net.current(spark).collect()}
+    for name in "ab":
+        s = Session()
+        for o in ops:
+            if o[0] == name:
+                s.apply("insert", o[3], o[4])
+        assert got[name] == s.state()[:2]
