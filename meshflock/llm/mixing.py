@@ -10,12 +10,15 @@ A step changes r by -p.s for a vector s of one number per domain. The rates afte
 follow from p and the k vectors alone: an iteration is two aggregations over the written
 posteriors, and the driver holds a few numbers per domain.
 
-Bounds (parameters): ``each`` labelled rows per domain are fitted; rates are at most ``most``.
+Bounds (parameters): ``each`` labelled rows per domain are fitted, without those whose label
+the others contradict (``doubt``); rates are at most ``most``.
 A target that the documents cannot reach under it is lowered, the others are raised so that
-the size stays, and a warning says so. Tokens are words between white space. Empty and null
-texts have no tokens and the posteriors of the classes' shares. Domains without labelled rows
+the size stays, and a warning says so. Tokens are words between white space. Long texts are read whole. Empty and null
+texts have no tokens and the posteriors of the classes' shares. Of domains that are likeliest
+in equal measure each counts the document among its own. Domains without labelled rows
 have posterior 0, so their share goes to the others. Without any labelled row all documents
-keep rate 1. Repeated rows are mixed as separate documents with equal rates.
+keep rate 1. Repeated rows are mixed as separate documents with equal rates. An empty table
+gives an empty result. Further columns of the input are not read or returned.
 """
 
 from __future__ import annotations
@@ -51,38 +54,46 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], label: str = "
 
     def run(batches):
         for b in batches:
-            found = [sorted({number(f) for w in set((t or "").split()) for f in of_word(w)}) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["k", "label", "found"])
+            found = [np.array(sorted({number(f) for w in set((t or "").split()) for f in of_word(w)}), np.uint32).view(np.int32) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "label", "found"])
 
-    got = sample.mapInArrow(run, "k string, label string, found array<long>").toArrow().sort_by([("k", "ascending"), ("label", "ascending")]).combine_chunks()
+    got = sample.mapInArrow(run, "k string, label string, found array<int>").toArrow().sort_by([("k", "ascending"), ("label", "ascending")]).combine_chunks()
     names = np.array(got.column("label").to_pylist(), object)
     found = got.column("found").combine_chunks()
-    return fit_models(found.flatten().to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False), names, np.array([1 / shares[n] for n in names]), domains)
+    flat, lengths = found.flatten().to_numpy(zero_copy_only=False).view(np.uint32), found.value_lengths().to_numpy(zero_copy_only=False)
+    del got, found
+    return fit_models(flat, lengths, names, np.array([1 / shares[n] for n in names]), domains)
 
 
-def fit_models(flat: np.ndarray, lengths: np.ndarray, names: np.ndarray, weights: np.ndarray, domains: list[str], doubt: float = 0.25, rounds: int = 4) -> list[tuple[dict[int, float], float] | None]:
+def fit_models(flat: np.ndarray, lengths: np.ndarray, names: np.ndarray, weights: np.ndarray, domains: list[str], doubt: float = 0.25, rounds: int = 3) -> list[tuple[dict[int, float], float] | None]:
     """Models of labelled rows, of which some are labelled wrongly: rows whose own label has a
-    posterior below ``doubt`` are left out and the models fitted again, until the same rows stay."""
-    own = np.repeat(np.arange(len(names)), lengths)
+    posterior below ``doubt`` after a short fit are left out, ``rounds`` times at most or until
+    the same rows stay, before the models are fitted."""
+    own = np.repeat(np.arange(len(names), dtype=np.int32), lengths)
+    ids, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = times >= 4  # rarer features are not fitted
+    ids, own, col = ids[often], own[often[col]], (np.cumsum(often, dtype=np.int32) - 1)[col[often[col]]]
+    lengths = np.bincount(own, minlength=len(names))
     use = np.ones(len(names), bool)
 
-    def models():
+    def models(steps: int):
         w = weights[use] * use.sum() / max(weights[use].sum(), 1e-300)
-        return [fit_logistic(flat[use[own]], lengths[use], (names[use] == d).astype(float), w, [], keep=3000, ridge=0.3) if (names[use] == d).any() else None for d in domains]
+        part = col[use[own]]
+        return [fit_logistic(part, lengths[use], (names[use] == d).astype(float), w, [], keep=3000, ridge=0.3, rounds=steps) if (names[use] == d).any() else None for d in domains]
 
     for _ in range(rounds):
-        fitted = models()
-        place, by_domain, start = joined(fitted)
-        col = np.array([place.get(f, -1) for f in flat.tolist()], np.int64)
-        p = posterior(by_domain, start, own[col >= 0], col[col >= 0], len(names))
+        place, by_domain, start = joined(models(20))
+        at = np.full(len(ids), -1)
+        at[list(place)] = list(place.values())
+        known = at[col] >= 0
+        p = posterior(by_domain, start, own[known], at[col[known]], len(names))
         sure = p[np.arange(len(names)), [domains.index(n) for n in names]] >= doubt
-        # a domain of which no row would be left keeps all
-        for d in domains:
+        for d in domains:  # a domain of which no row would be left keeps all
             sure |= (names == d) & ~(sure & (names == d)).any()
         if (sure == use).all():
-            return fitted
+            break
         use = sure
-    return models()
+    return [m and ({int(ids[k]): w for k, w in m[0].items()}, m[1]) for m in models(60)]
 
 
 def joined(models: list) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
