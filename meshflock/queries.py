@@ -210,6 +210,108 @@ def bridges_articulations(spark, d):
     return spatial.connectivity(kept, spatial.labels(p, kept))
 
 
+# ---- sets, partitions and paths of the graph ---------------------------------------------
+
+
+def kept_edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Edges retained by the local scale and by raw length."""
+    e = scored(E(spark, d))
+    return e.where(F.col("score") <= TAU).select("u", "v"), e.where(F.col("length") <= TAU_RAW).select("u", "v")
+
+
+@query(f"WITH {SCL} SELECT u, v, CASE WHEN score <= {TAU} THEN 'local' ELSE 'raw' END AS only_in FROM sco WHERE (score <= {TAU}) <> (length <= {TAU_RAW})")
+def retained_changes(spark, d):
+    """Symmetric difference of two sets of retained edges."""
+    local, raw = kept_edges(spark, d)
+    return local.join(raw, ["u", "v"], "left_anti").withColumn("only_in", F.lit("local")).union(raw.join(local, ["u", "v"], "left_anti").withColumn("only_in", F.lit("raw")))
+
+
+@query(f"WITH {SCL} SELECT u, v FROM sco WHERE score <= {TAU} AND length <= {TAU_RAW}")
+def retained_in_both(spark, d):
+    local, raw = kept_edges(spark, d)
+    return local.intersect(raw)
+
+
+@query(f"""{STATIC}, a AS (SELECT count(*) AS n, min(id) AS lo, max(id) AS hi, sum(id) AS total FROM lab WHERE NOT is_noise GROUP BY cluster_id),
+b AS (SELECT count(*) AS n, min(id) AS lo, max(id) AS hi, sum(id) AS total FROM pts GROUP BY label)
+SELECT count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) AS equal_sets, count(*) FILTER (b.n IS NULL) AS only_clusters, count(*) FILTER (a.n IS NULL) AS only_labels FROM a FULL JOIN b ON a.n = b.n AND a.lo = b.lo AND a.hi = b.hi AND a.total = b.total""")
+def partition_compare(spark, d):
+    """Full outer join of two partitions by the make-up of their sets."""
+
+    def sets(df, by, name):
+        return df.groupBy(by).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("id").alias("total")).drop(by).withColumn(name, F.lit(1))
+
+    both = sets(clusters(spark, d).where("not is_noise"), "cluster_id", "a").join(sets(E(spark, d), "label", "b"), ["n", "lo", "hi", "total"], "full")
+    return both.agg(F.count(F.expr("a + b")).alias("equal_sets"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_clusters"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_labels"))
+
+
+@query(f"{STATIC}, adj2 AS (SELECT u AS a, v AS b FROM kept UNION ALL SELECT v, u FROM kept), two AS (SELECT DISTINCT k.u, k.v FROM kept k JOIN adj2 p ON p.a = k.u JOIN adj2 q ON q.a = p.b AND q.b = k.v), three AS (SELECT DISTINCT k.u, k.v FROM kept k JOIN adj2 p ON p.a = k.u AND p.b <> k.v JOIN adj2 q ON q.a = p.b AND q.b <> k.u AND q.b <> k.v JOIN adj2 r ON r.a = q.b AND r.b = k.v) SELECT k.u, k.v, CASE WHEN two.u IS NOT NULL THEN 2 WHEN three.u IS NOT NULL THEN 3 END AS hops FROM kept k LEFT JOIN two USING (u, v) LEFT JOIN three USING (u, v)")
+def path_witness(spark, d):
+    """For every retained edge the fewest hops, up to three, of a path between its ends that
+    does without it; null where there is none so short."""
+    kept = materialize(kept_edges(spark, d)[0], "kept")
+    step = kept.union(kept.select("v", "u"))
+    first = kept.join(step.select(F.col("u").alias("u"), F.col("v").alias("p")), "u").where("p <> v")
+    two = first.join(step.select(F.col("u").alias("p"), F.col("v").alias("q")), "p").where("q <> u")
+    short = two.where("q = v").select("u", "v", F.lit(2).alias("hops"))
+    long = two.where("q <> v").join(step.select(F.col("u").alias("q"), F.col("v").alias("end")), "q").where("end = v").select("u", "v", F.lit(3).alias("hops"))
+    return kept.join(short.union(long).groupBy("u", "v").agg(F.min("hops").alias("hops")), ["u", "v"], "left")
+
+
+CROP = "abs(x) <= 0.5 AND abs(y) <= 0.5"
+
+
+@query(f"{STATIC.replace('label FROM embeddings)', 'label FROM embeddings WHERE abs(CAST(embedding[1] AS DOUBLE)) <= 0.5 AND abs(CAST(embedding[2] AS DOUBLE)) <= 0.5)')}, dom AS (SELECT cluster_id FROM lab WHERE NOT is_noise GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1) SELECT id FROM lab WHERE cluster_id IN (SELECT cluster_id FROM dom)")
+def crop_dominant(spark, d):
+    """A window of the plane, clustered by itself: the points of its largest cluster."""
+    p = materialize(E(spark, d).where(CROP), "crop")
+    at = materialize(spatial.labels(p, scored(p).where(F.col("score") <= TAU)), "labels")
+    first = at.where("not is_noise").groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(1)
+    return at.join(first, "cluster_id", "left_semi").select("id")
+
+
+@query(f"{STATIC} SELECT round(100.0 * count(*) FILTER (is_noise) / count(*), 9) AS noise_pct FROM lab")
+def noise_percent(spark, d):
+    return clusters(spark, d).agg(F.round(100.0 * F.count_if("is_noise") / F.count("*"), 9).alias("noise_pct"))
+
+
+@query(f"WITH {EDG}, b AS (SELECT min(length) AS lo, (max(length) - min(length)) / 10 AS w FROM edg) SELECT CAST(least(9, floor((length - lo) / w)) AS INT) AS bin, count(*) AS n FROM edg, b GROUP BY 1")
+def length_histogram(spark, d):
+    e = materialize(spatial.delaunay(E(spark, d)), "edges")
+    b = e.agg(F.min("length").alias("lo"), ((F.max("length") - F.min("length")) / 10).alias("w"))
+    return e.join(F.broadcast(b)).groupBy(F.least(F.lit(9), F.floor((F.col("length") - F.col("lo")) / F.col("w"))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVT} SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 9) AS pct, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd, count(DISTINCT track) AS tracks FROM evt GROUP BY event_type")
+def group_table(spark, d):
+    """Counts with shares, mean, deviation and distinct tracks of every group."""
+    v = V(spark, d)
+    g = v.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.round(F.stddev_samp("y"), 6).alias("sd"), F.countDistinct("track").alias("tracks"))
+    return g.join(F.broadcast(v.agg(F.count("*").alias("_all")))).withColumn("pct", F.round(100.0 * F.col("n") / F.col("_all"), 9)).drop("_all")
+
+
+@query("SELECT doc_id, regexp_extract(source, '([a-z]+)([0-9]*)', 1) AS kind, regexp_extract(source, '([a-z]+)([0-9]*)', 2) AS number FROM documents WHERE source IS NOT NULL")
+def name_parts(spark, d):
+    """Parts of a name by a pattern, as a mode is read from a file name."""
+    t = spark.read.parquet(f"{d}/documents.parquet").where("source is not null")
+    part = lambda k: F.regexp_extract("source", "([a-z]+)([0-9]*)", k)
+    return t.select("doc_id", part(1).alias("kind"), part(2).alias("number"))
+
+
+@query(f"WITH {EVT} SELECT id, round((x - (SELECT avg(x) FROM evt)) * 111.32 * cos(radians((SELECT avg(y / 10) FROM evt))), 6) AS x, round((y / 10 - (SELECT avg(y / 10) FROM evt)) * 111.32, 6) AS y FROM evt")
+def project_degrees(spark, d):
+    """Degrees to kilometres about the mean, by a fixed length of a degree."""
+    e = V(spark, d).select("id", F.col("x").alias("lon"), (F.col("y") / 10).alias("lat"))
+    m = e.agg(F.avg("lon").alias("lon0"), F.avg("lat").alias("lat0"))
+    return e.join(F.broadcast(m)).select("id", F.round((F.col("lon") - F.col("lon0")) * 111.32 * F.cos(F.radians("lat0")), 6).alias("x"), F.round((F.col("lat") - F.col("lat0")) * 111.32, 6).alias("y"))
+
+
+@query()
+def dbscan_step_log(spark, d):
+    """Every operation of the grow-only DBSCAN, with the agreement of its clusters with a fresh run."""
+    return dbscan.step_log(updates(V(spark, d)), 25.0, 4, every=10, exact=False).drop("incr_ns", "full_ns")
+
+
 # ---- grid ------------------------------------------------------------------------------
 
 
@@ -364,7 +466,13 @@ def review_lag_stream(spark, d):
     return tracks.review_lag(e, 5, F.col("op") == "delete")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVT}, num AS (SELECT track, id AS ord, x / 24 AS t, x / 10 AS px, y AS py, y / 100 AS mag, row_number() OVER (PARTITION BY track ORDER BY x / 24, id) AS k FROM evt),
+rec AS (SELECT track, k, ord, false AS hit, [{{'t': t, 'x': px, 'y': py, 'm': mag}}] AS keep FROM num WHERE k = 1
+  UNION ALL SELECT track, k, ord, hit, CASE WHEN hit THEN keep ELSE list_append(keep, {{'t': t, 'x': px, 'y': py, 'm': mag}}) END FROM (
+    SELECT n.*, r.keep, len(list_filter(r.keep, lambda j: n.mag <= j.m AND n.t <= j.t + CASE WHEN j.m >= 6.5 THEN pow(10, 0.032 * j.m + 2.7389) ELSE pow(10, 0.5409 * j.m - 0.547) END
+      AND sqrt((n.px - j.x) * (n.px - j.x) + (n.py - j.y) * (n.py - j.y)) <= pow(10, 0.1238 * j.m + 0.983))) > 0 AS hit
+    FROM rec r JOIN num n ON n.track = r.track AND n.k = r.k + 1))
+SELECT track, ord, hit AS is_dependent FROM rec""")
 def window_decluster(spark, d):
     e = V(spark, d).select("track", (F.col("x") / 24).alias("t"), (F.col("x") / 10).alias("x"), F.col("y"), (F.col("y") / 100).alias("mag"), F.col("id").alias("ord"))
     return tracks.decluster(e)

@@ -68,9 +68,12 @@ def save_model(points: DataFrame, options: Options, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[Options, DataFrame, DataFrame]:
-    """(options, points, labels); labels are those that were saved."""
+    """(options, points, labels); the points are fitted again, with the saved options."""
+    from meshflock.plans import spatial
+
     pairs = {r.key: r.value for r in spark.read.parquet(f"{path}/metadata").collect()}
-    return Options.from_strings(pairs), spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/labels")
+    options, points = Options.from_strings(pairs), spark.read.parquet(f"{path}/points")
+    return options, points, spatial.fit(points, options, "labels")
 
 
 def assign(queries: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ is what it is there to show.
 
 from __future__ import annotations
 
+import time
+from collections import Counter
 from math import floor
 
 import pyarrow as pa
@@ -141,6 +143,47 @@ class Dbscan:
             self.move(x, y, nx, ny)
 
 
+def agreement(a: list[int], b: list[int]) -> float:
+    """Adjusted Rand index of two labelings; 1 where both put all points alike."""
+    pairs = lambda counts: sum(n * (n - 1) / 2 for n in counts.values())
+    both, left, right, all_ = pairs(Counter(zip(a, b, strict=True))), pairs(Counter(a)), pairs(Counter(b)), len(a) * (len(a) - 1) / 2
+    chance = left * right / all_ if all_ else 0.0
+    most = (left + right) / 2
+    return 1.0 if most == chance else (both - chance) / (most - chance)
+
+
+LOG = "session string, step long, operation string, incr_ns long, full_ns long, n_active long, incr_ari double"
+
+
+def step_log(updates: DataFrame, eps: float, min_pts: int, every: int = 1, exact: bool = True) -> DataFrame:
+    """One row per operation; at every ``every``-th the agreement with a run from scratch over
+    the points present (else ``incr_ari`` is -2 and ``full_ns`` -1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("seq").to_pydict()
+        d = Dbscan(eps, min_pts, exact)
+        rows = []
+        for row in zip(t["op"], t["x"], t["y"], t["new_x"], t["new_y"], strict=True):
+            began = time.perf_counter_ns()
+            d.play(*row)
+            spent, full, ari = time.perf_counter_ns() - began, -1, -2.0
+            if (len(rows) + 1) % every == 0:
+                began = time.perf_counter_ns()
+                fresh = Dbscan(eps, min_pts)
+                for k in sorted(d.at):
+                    fresh.insert(*d.at[k], k)
+                want = fresh.labels()
+                full = time.perf_counter_ns() - began
+                have = d.labels()
+                ari = agreement([have[k] for k in sorted(d.at)], [want[k] for k in sorted(d.at)])
+            rows.append((t["session"][0], len(rows) + 1, row[0], spent, full, len(d.at), ari))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({c.split()[0]: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(LOG.split(", "), kinds, strict=True))})
+
+    cols = updates.select(F.col("session").cast("string").alias("session"), "seq", "op", "x", "y", "new_x", "new_y")
+    return cols.groupBy("session").applyInArrow(run, LOG)
+
+
 def replay(updates: DataFrame, eps: float, min_pts: int, exact: bool = True) -> DataFrame:
     """Final (session, id, x, y, is_core, cluster_id) of every session's updates."""
 

@@ -22,10 +22,17 @@ def test_restore(spark, tmp_path):
         with pytest.raises(ValueError):
             restore(spark, str(tmp_path / "in"), str(tmp_path / "out"), [good, good | {"target": "b.csv"} | bad])
     assert not (tmp_path / "out").exists()
-    (path,) = restore(spark, str(tmp_path / "in"), str(tmp_path / "out"), [good])
-    assert open(path, "rb").read() == raw
-    with pytest.raises(FileExistsError):
-        restore(spark, str(tmp_path / "in"), str(tmp_path / "out"), [good])
+    there = (spark, str(tmp_path / "in"), str(tmp_path / "out"), [good])
+    restore(*there, verify_only=True)
+    assert not (tmp_path / "out").exists()
+    for _ in range(2):  # what is there already stays
+        (path,) = restore(*there)
+        assert open(path, "rb").read() == raw
+    with open(path, "ab") as f:
+        f.write(b"5,6")
+    for only in (True, False):
+        with pytest.raises(FileExistsError):
+            restore(*there, verify_only=only)
 
 
 @pytest.mark.parametrize("family", sorted(FAMILIES | MORE_FAMILIES))
