@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshflock.llm.carry import add_columns
 from meshflock.llm.sampling import per_class
 
 DIM = 1 << 15
@@ -101,23 +102,18 @@ def train(labelled: DataFrame, label: str = "lang", key: str = "doc_id", each: i
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """Add lang_pred and score to every row."""
     classes, weights = model
-    kept = [f for f in docs.schema if f.name == text or f.name not in ("lang_pred", "score")]
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                texts = b.column(b.schema.get_field_index(text)).to_pylist()
-                known = [i for i, t in enumerate(texts) if t is not None and classes and LETTER.search(t)]
-                pred, score = ["und"] * len(texts), [0.0] * len(texts)
-                if known:
-                    x = np.stack([presence(texts[i]) for i in known]).astype(np.float32)
-                    f = (x @ weights[:-1]) / np.sqrt(np.maximum(x.sum(1), 1))[:, None] + weights[-1]
-                    p = np.exp(4 * (f - f.max(1, keepdims=True)))
-                    p /= p.sum(1, keepdims=True)
-                    for i, k, v in zip(known, f.argmax(1), p.max(1), strict=True):
-                        pred[i], score[i] = classes[k], min(1.0, float(v))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[f.name for f in kept] + ["lang_pred", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    def judged(texts):
+        texts = texts.to_pylist()
+        known = [i for i, t in enumerate(texts) if t is not None and classes and LETTER.search(t)]
+        pred, score = ["und"] * len(texts), [0.0] * len(texts)
+        if known:
+            x = np.stack([presence(texts[i]) for i in known]).astype(np.float32)
+            f = (x @ weights[:-1]) / np.sqrt(np.maximum(x.sum(1), 1))[:, None] + weights[-1]
+            p = np.exp(4 * (f - f.max(1, keepdims=True)))
+            p /= p.sum(1, keepdims=True)
+            for i, k, v in zip(known, f.argmax(1), p.max(1), strict=True):
+                pred[i], score[i] = classes[k], min(1.0, float(v))
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+
+    return add_columns(docs, lambda: judged, [("lang_pred", "string"), ("score", "double")], [text], rows=256)

@@ -23,7 +23,8 @@ from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from meshflock.llm.carry import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -236,27 +237,22 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-ADDED = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, masked string"
+ADDED = [("n_email", "long"), ("n_ip", "long"), ("n_card", "long"), ("n_phone", "long"), ("base_sha256", "string"), ("spans", "string"), ("n_added", "long"), ("masked", "string")]
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts, the digest of base spans, all spans and the masked text."""
-    names = [x.split()[0] for x in ADDED.split(", ")]
-    kept = [f for f in docs.schema if f.name == text or f.name not in names]
-
-    def run(batches):
-        for b in batches:
-            cols = [[] for _ in names]
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                base = base_spans(t or "")
-                more = added_spans(t, base) if t else []
-                spans = sorted(base + more)
-                ks = [k for _, k, _ in base]
-                row = [*(ks.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(more), mask(t, spans) if spans else t]
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.name for f in kept] + names)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), ADDED])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+
+    def searched(texts):
+        cols = [[] for _ in ADDED]
+        for t in texts.to_pylist():
+            base = base_spans(t or "")
+            more = added_spans(t, base) if t else []
+            spans = sorted(base + more)
+            ks = [k for _, k, _ in base]
+            row = [*(ks.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(more), mask(t, spans) if spans else t]
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        return [pa.array(c, pa.int64() if kind == "long" else pa.string()) for c, (_, kind) in zip(cols, ADDED, strict=True)]
+
+    return add_columns(docs, lambda: searched, ADDED, [text])

@@ -32,9 +32,9 @@ RULES = ("symbols", "glued", "lines", "windows", "capitals", "marks", "variety",
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts and further signals; the text stays."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = [f"`{c}`" for c in docs.columns if c == text or c not in (*BASE, *EXTRA)]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c == text or c not in (*BASE, *EXTRA)]
     d = docs.select(
-        *kept,
+        F.struct(*kept).alias("_in"),  # so that no column of the input clashes with those below
         F.array_remove(F.split(t, SPACE), "").alias("_words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
     )
@@ -44,8 +44,9 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     again = "coalesce(get(_windows, k - 1).h = x.h, false) or coalesce(get(_windows, k + 1).h = x.h, false)"
     d = d.withColumn("_found", F.expr(f"transform(filter(_windows, (x, k) -> {again}), x -> x.i)"))
     n = F.size("_words").cast("long")
+    t = F.coalesce(F.col("_in").getField(text), F.lit(""))
     return d.select(
-        *kept,
+        "_in.*",
         n.alias("n_words"),
         F.coalesce(F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)), F.lit(0)).alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),

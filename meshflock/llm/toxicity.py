@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshflock.llm.carry import add_columns
 from meshflock.llm.sampling import per_class
 from meshflock.runtime import materialize
 
@@ -160,9 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "text", remember: int = 500_000) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from 0.5 on) to every row."""
     weights, intercept = model
-    kept = [f for f in docs.schema if f.name == text or f.name not in ("score", "predicted")]
 
-    def run(batches):
+    def make():
         known: dict[str, tuple[int, ...]] = {}  # features with a weight, by word
 
         def of(word):
@@ -171,9 +171,9 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "t
                 known[word] = hit
             return hit
 
-        for b in batches:
+        def scored(texts):
             out = []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+            for t in texts.to_pylist():
                 hits: set[int] = set()
                 for w in words(t) if t else ():
                     h = known.get(w)
@@ -184,7 +184,8 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], text: str = "t
                 z = intercept + sum(weights[n] for n in sorted(hits))
                 out.append(1 / (1 + np.exp(-z)) if z > -30 else 0.0)
             s = np.array(out, float)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[f.name for f in kept] + ["score", "predicted"])
+            return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+
+        return scored
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{schema}, score double, predicted int")
+    return add_columns(docs, make, [("score", "double"), ("predicted", "int")], [text])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshflock.llm.carry import add_columns
+
 PACKET = 188
 PMT_PID, DATA_PID = 0x1000, 0x0101
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data in PES packets; private stream 1
@@ -33,7 +35,10 @@ CLOCK = 90_000
 PES_BYTES = 32_768
 PES_HEAD = 14
 STEP = 3_600  # ticks between elementary packets
-DEMUXED = "payload binary, programs array<int>, stream_pids array<int>, n_packets long, n_pes long, n_gaps long, n_repeats long, n_bad_tables long, n_skipped long, access_points array<struct<pts:long,packet:long,byte:long>>"
+DEMUXED = [
+    ("payload", "binary"), ("programs", "array<int>"), ("stream_pids", "array<int>"), ("n_packets", "long"), ("n_pes", "long"), ("n_gaps", "long"), ("n_repeats", "long"),
+    ("n_bad_tables", "long"), ("n_skipped", "long"), ("access_points", "array<struct<pts:long,packet:long,byte:long>>"),
+]
 
 
 def _crc_table() -> list[int]:
@@ -241,33 +246,10 @@ def demux(stream: bytes) -> dict:
     }
 
 
-def _rows(batch: pa.RecordBatch, without: set[str], made: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
-    keep = [i for i, n in enumerate(batch.schema.names) if n not in without]
-    arrays = [batch.column(i) for i in keep] + [pa.array(v, k) for _, k, v in made]
-    return pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep] + [n for n, _, _ in made])
-
-
-def _slices(batches, rows: int = 256):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def _schema(df: DataFrame, without: set[str], added: str) -> str:
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without]
-    return ", ".join([*kept, added])
-
-
 def to_stream(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """Replace the binary column ``payload`` by the transport stream ``media``."""
-    without = {payload, media}
-
-    def run(batches):
-        for b in _slices(batches):
-            src = b.column(b.schema.get_field_index(payload)).to_pylist()
-            yield _rows(b, without, [(media, pa.binary(), [mux(x or b"") for x in src])])
-
-    return df.mapInArrow(run, _schema(df, without, f"`{media}` binary"))
+    stored = lambda src: [pa.array([mux(x or b"") for x in src.to_pylist()], pa.binary())]
+    return add_columns(df, lambda: stored, [(media, "binary")], [payload], {payload}, rows=256)
 
 
 POINT = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("byte", pa.int64())]))
@@ -276,14 +258,12 @@ KINDS = [("payload", pa.binary()), ("programs", pa.list_(pa.int32())), ("stream_
 
 def from_stream(df: DataFrame, media: str = "media") -> DataFrame:
     """Add what ``demux`` finds in the binary column ``media``; the media stays."""
-    without = {n for n, _ in KINDS} - {media}
 
-    def run(batches):
-        for b in _slices(batches):
-            got = [demux(x or b"") for x in b.column(b.schema.get_field_index(media)).to_pylist()]
-            yield _rows(b, without, [(n, k, [g[n] for g in got]) for n, k in KINDS])
+    def read(streams):
+        got = [demux(x or b"") for x in streams.to_pylist()]
+        return [pa.array([g[n] for g in got], k) for n, k in KINDS]
 
-    return df.mapInArrow(run, _schema(df, without, DEMUXED))
+    return add_columns(df, lambda: read, DEMUXED, [media], rows=256)
 
 
 def padded(text: str = "text", block: int = 64):

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshflock.llm.carry import add_columns
+
 RULES_PER_PASS = 50_000
 TOKEN = re.compile("[A-Za-z0-9]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,32 +119,28 @@ ADDED = ("host", "path", "rule", "verdict", "pattern")
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", counts: dict[str, int] | None = None) -> DataFrame:
     """Add host, path, rule (the deciding site rule), verdict and pattern (the deciding rule's)."""
     counts = token_counts(df, rules, url) if counts is None else counts
-    kept = [f for f in df.schema if f.name not in ADDED or f.name == url]
-    out = df.select(*[F.col(f"`{f.name}`") for f in kept])
+    out = df
     passes = [rules[i : i + RULES_PER_PASS] for i in range(0, len(rules), RULES_PER_PASS)] or [[]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    text = pa.string()
     for k, part in enumerate(passes):
 
-        def run(batches, part=part, first=k == 0):
+        def make(part=part, first=k == 0):
             index = Index(part, counts)
-            for b in batches:
-                best = [None] * b.num_rows
-                if not first:
-                    best = [p and Rule(v, p, s, h) for p, v, s, h in zip(*(b.column(n).to_pylist() for n in ("pattern", "verdict", "rule", "_host_only")), strict=True)]
-                parts = [split_url(u) for u in b.column(b.schema.get_field_index(url)).to_pylist()]
+
+            def judged(urls, *before):
+                best = [None] * len(urls)
+                if not first:  # the best of the passes before
+                    best = [p and Rule(v, p, s, h) for p, v, s, h in zip(*(c.to_pylist() for c in before), strict=True)]
+                parts = [split_url(u) for u in urls.to_pylist()]
                 for i, (host, path) in enumerate(parts):
                     for r in index.matches(host, path):
                         best[i] = better(best[i], r)
-                new = {
-                    "host": pa.array([h for h, _ in parts], text), "path": pa.array([p for _, p in parts], text),
-                    "rule": pa.array([r and r.site for r in best], text), "verdict": pa.array([r.verdict if r else "allow" for r in best], text),
-                    "pattern": pa.array([r and r.pattern for r in best], text), "_host_only": pa.array([bool(r and r.host_only) for r in best]),
-                }
-                names = [f.name for f in kept]
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + list(new.values()), names=names + list(new))
-
-        out = out.mapInArrow(run, f"{schema}, host string, path string, rule string, verdict string, pattern string, _host_only boolean")
+                text = [[h for h, _ in parts], [p for _, p in parts], [r and r.site for r in best], [r.verdict if r else "allow" for r in best], [r and r.pattern for r in best]]
+                return [*(pa.array(t, pa.string()) for t in text), pa.array([bool(r and r.host_only) for r in best])]
+
+            return judged
+
+        before = [] if k == 0 else ["pattern", "verdict", "rule", "_host_only"]
+        out = add_columns(out, make, [*((c, "string") for c in ADDED), ("_host_only", "boolean")], [url, *before])
     return out.drop("_host_only")
 
 
