@@ -8,7 +8,8 @@ with a smaller id. Only suffixes that can matter are sorted:
    run of neighbouring windows shares one: about one anchor per 16 bytes stands for all
    suffixes that start in its run. Each map task sorts its anchors by (token hash, hash of
    the run's text, id). Runs with equal text keep the smallest id; the others are settled
-   there. Sorted runs go, as compressed blocks, to the bucket of their token hash.
+   there and go back to their documents. Sorted runs go, as compressed blocks, to the bucket
+   of their token hash, to which a very common line sends a few runs of every map task only.
 2. *Buckets* merge the blocks: the smallest id of each (token, text) again settles the
    others. What is left open are tokens whose runs differ in text.
 3. *Suffixes* of the open runs are range-partitioned by their leading token, with splitters
@@ -19,13 +20,18 @@ with a smaller id. Only suffixes that can matter are sorted:
    common line) spread out instead: their windows meet by a 128-bit digest of the string.
 4. The verdicts are joined to the texts, which mark and drop the covered bytes.
 
-Texts are UTF-8 bytes; null texts are empty. Rows with the same id are one document and do
-not remove from each other; rows without an id are kept as they are.
+Texts are UTF-8 bytes; null and empty texts have nothing to remove, nor have those shorter
+than ``LENGTH``. Long texts are cut into overlapping segments, and no window is lost. Of equal
+strings in one document none removes the other. Rows with the same id are one document and do
+not remove from each other (their texts should be equal: verdicts of one go to all); rows
+without an id are kept as they are. An empty table gives an empty result. Further columns of
+the input are not read or returned, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +132,8 @@ def settle(token, text, doc):
     """Order by (token, text, doc), and for each row in that order whether a smaller document
     has the same run, and whether its token goes with another text of another document."""
     order = np.lexsort((doc, text, token))
+    if not len(order):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
     token, text, doc = token[order], text[order], doc[order]
     new_token = np.concatenate([[True], token[1:] != token[:-1]])
     new_run = new_token | np.concatenate([[True], text[1:] != text[:-1]])
@@ -178,14 +186,17 @@ def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
         order, later, _ = settle(token, text, doc)
         token, text, doc, ordinal = token[order], text[order], doc[order], ordinal[order]
         bucket = ((token >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
-        edge = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
+        none = np.zeros(0, np.int64)
         rows = []
-        for k in np.flatnonzero(edge[1:] > edge[:-1]):
-            part = slice(edge[k], edge[k + 1])
-            out = later[part]
-            d, o = doc[part], ordinal[part]
-            used, at = np.unique(d, return_inverse=True)
-            rows.append((int(k), pack_block(token[part][~out], text[part][~out], at[~out], o[~out], at[out], o[out], ids[used])))
+        if later.any():  # settled here: they go back to their documents, spread by whose they are, and meet no bucket of their token
+            used, at = np.unique(doc[later], return_inverse=True)
+            spot = n_buckets + zlib.crc32(ids[used].tobytes()) % n_buckets
+            rows.append((spot, pack_block(none.view(np.uint64), none.view(np.uint64), none, none, at, ordinal[later], ids[used])))
+        token, text, doc, ordinal, bucket = (c[~later] for c in (token, text, doc, ordinal, bucket))
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else none
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            used, at = np.unique(doc[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), pack_block(token[a:b], text[a:b], at, ordinal[a:b], none, none, ids[used])))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
 
     def run(batches):
