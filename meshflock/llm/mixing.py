@@ -37,6 +37,7 @@ from meshflock.llm.toxicity import fit as fit_logistic
 from meshflock.llm.toxicity import number
 from meshflock.runtime import materialize
 
+CHUNK = 1 << 20
 LOWER, UPPER, OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W_]+")
 
 
@@ -70,9 +71,18 @@ def fit_models(flat: np.ndarray, lengths: np.ndarray, names: np.ndarray, weights
     posterior below ``doubt`` after a short fit are left out, ``rounds`` times at most or until
     the same rows stay, before the models are fitted."""
     own = np.repeat(np.arange(len(names), dtype=np.int32), lengths)
-    ids, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    often = times >= 4  # rarer features are not fitted
-    ids, own, col = ids[often], own[often[col]], (np.cumsum(often, dtype=np.int32) - 1)[col[often[col]]]
+    ids = np.unique(flat)
+    col = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(ids, flat[k : k + CHUNK]).astype(np.int32) for k in range(0, len(flat), CHUNK))])
+    # features that are rare, or that go with no domain more than with the others, are not fitted
+    times = np.bincount(col, minlength=len(ids))
+    telling = np.zeros(len(ids), bool)
+    for d in domains:
+        share = float((names == d).mean()) if len(names) else 0.0
+        hits = np.bincount(col[(names == d)[own]], minlength=len(ids))
+        telling |= np.abs(hits - times * share) > 2 * np.sqrt(np.maximum(times * share * (1 - share), 1e-9))
+    telling &= times >= 4
+    kept = telling[col]
+    ids, own, col = ids[telling], own[kept], (np.cumsum(telling, dtype=np.int32) - 1)[col[kept]]
     lengths = np.bincount(own, minlength=len(names))
     use = np.ones(len(names), bool)
 

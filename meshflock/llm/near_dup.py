@@ -42,9 +42,11 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshflock.plans.components import components
@@ -270,6 +272,17 @@ def spot_filter(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
+def spotted(ids: Column, bits: Broadcast) -> Column:
+    """Whether an id may be one that a ``spot_filter`` was made of; false for null."""
+
+    @F.pandas_udf("boolean")
+    def test(v: pd.Series) -> pd.Series:
+        at = spots(v.fillna(0).to_numpy(np.int64))
+        return pd.Series((bits.value[at >> 6] >> (at & 63) & 1).astype(bool)) & v.notna().reset_index(drop=True)
+
+    return test(ids.cast("long"))
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, size, low, shingles): whole sets, six bytes a shingle, and one byte of each
     coordinate, of the wanted documents (and of few others). Texts are filtered where they
