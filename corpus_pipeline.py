@@ -39,11 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with one id are one document: of its rows with equal texts the first stays, by the
     order of all its values. Rows without an id, and empty and null texts, have no
     duplicates."""
-    kept = near_dup.group(docs.select("doc_id", "text")).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    groups = near_dup.group(docs.select("doc_id", "text")).where("doc_id is not null")
+    groups = materialize(groups.groupBy(F.col("doc_id").alias("doc")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "groups")
+    # rows of ids that go, or that occur more than once, are looked up; all others, most by far, pass where they are read
+    doubtful = spark.sparkContext.broadcast(near_dup.spot_filter(groups.where("not kept or n > 1")))
     rows = boxed(docs, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    rows = rows.withColumn("_look", near_dup.spotted(F.col("_id"), doubtful))
     same = Window.partitionBy("_id", "_text").orderBy(F.to_json("_doc"))
-    one = rows.join(kept, "_id", "left_semi").withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
-    return one.select("_doc").union(rows.where("_id is null").select("_doc")).select("_doc.*")
+    looked = rows.where("_look").join(groups.where("kept").select(F.col("doc").alias("_id")), "_id", "left_semi")
+    one = looked.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    return one.select("_doc").union(rows.where("not _look").select("_doc")).select("_doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
