@@ -19,6 +19,7 @@ from meshflock.plans.triangulation import Mesh, in_circle
 from meshflock.runtime import materialize
 
 ONE_TASK = 20_000
+MARGIN = 0.1  # of a tile's width, read on every side of it
 
 
 # ---- Delaunay join -------------------------------------------------------------------
@@ -43,6 +44,18 @@ def circles(x, y, t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(flat, 0.0, ax + ux), np.where(flat, 0.0, ay + uy), np.where(flat, np.inf, r)
 
 
+def holders(low: np.ndarray, high: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in v, interval) for every interval that holds a value. Intervals come in the order
+    of what they surround, so those that may hold a value stand together."""
+    first = np.searchsorted(np.maximum.accumulate(high), v, "left")
+    last = np.searchsorted(np.minimum.accumulate(low[::-1])[::-1], v, "right")
+    times = np.maximum(last - first, 0)
+    at = np.repeat(np.arange(len(v)), times)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times - first, times)
+    there = (low[k] <= v[at]) & (v[at] <= high[k])
+    return at[there], k[there]
+
+
 def _tiled_edges(points: DataFrame, n: int, tile: int) -> DataFrame:
     """Tiles with a margin are triangulated on their own. A triangle is certain if its circle
     stays, inside the bounds of all points, within the rectangle that the tile has read.
@@ -59,21 +72,25 @@ def _tiled_edges(points: DataFrame, n: int, tile: int) -> DataFrame:
     for s in range(side):
         for k in range(side):
             q = ys.get(s, [y0] + [y1] * side)
-            mx, my = 0.5 * (xs[s + 1] - xs[s]), 0.5 * (q[k + 1] - q[k])
+            mx, my = MARGIN * (xs[s + 1] - xs[s]), MARGIN * (q[k + 1] - q[k])
             rect[s * side + k] = (xs[s] - mx, xs[s + 1] + mx, q[k] - my, q[k + 1] + my)
 
+    low_x, high_x = (np.array([rect[s * side][e] for s in range(side)]) for e in (0, 1))
+    low_y, high_y = ([np.array([rect[s * side + k][e] for k in range(side)]) for s in range(side)] for e in (2, 3))
+    cuts_y = [ys.get(s, [y0] + [y1] * side)[1:-1] for s in range(side)]
+
     def deal(batches):
         for batch in batches:
             ids, x, y = (batch.column(k).to_numpy() for k in range(3))
             own_s = np.searchsorted(xs[1:-1], x, "right")
-            own = np.empty(len(x), np.int64)
-            for s in range(side):
-                at = own_s == s
-                own[at] = s * side + np.searchsorted(ys.get(s, [y0] + [y1] * side)[1:-1], y[at], "right")
-            out = []
-            for k, (a, bb, c, d) in rect.items():
-                hit = np.flatnonzero((x >= a) & (x <= bb) & (y >= c) & (y <= d) | (own == k))
-                out.append((np.full(len(hit), k), ids[hit], x[hit], y[hit], own[hit] == k))
+            near, stripes = holders(low_x, high_x, x)
+            out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2 + (np.zeros(0, bool),)]
+            for s in np.unique(stripes).tolist():
+                i = near[stripes == s]
+                j, k = holders(low_y[s], high_y[s], y[i])
+                i = i[j]
+                mine = (own_s[i] == s) & (k == np.searchsorted(cuts_y[s], y[i], "right"))
+                out.append((s * side + k, ids[i], x[i], y[i], mine))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tile", "id", "x", "y", "own"])
 
@@ -142,9 +159,11 @@ def _tiled_edges(points: DataFrame, n: int, tile: int) -> DataFrame:
     px, py = F.col("x"), F.col("y")
     ax, ay, bx, by, cx, cy = (F.col(c) - p for c, p in (("x0", px), ("y0", py), ("x1", px), ("y1", py), ("x2", px), ("y2", py)))
     det = (ax * ax + ay * ay) * (bx * cy - cx * by) + (bx * bx + by * by) * (cx * ay - ax * cy) + (cx * cx + cy * cy) * (ax * by - bx * ay)
-    # only hits near or above zero need the exact sign
-    close = maybe.join(at, "cell").where(det > -1e-9 * (F.abs(ax * ax + ay * ay) + F.abs(bx * bx + by * by) + F.abs(cx * cx + cy * cy)) ** 2)
-    wrong = close.select("tri", "x0", "y0", "x1", "y1", "x2", "y2", "x", "y").mapInArrow(inside, "tri long").distinct()
+    # far from zero the sign is certain; only hits near zero need the exact one
+    near = 1e-9 * (F.abs(ax * ax + ay * ay) + F.abs(bx * bx + by * by) + F.abs(cx * cx + cy * cy)) ** 2
+    met = maybe.join(at, "cell")
+    close = met.where(F.abs(det) <= near).select("tri", "x0", "y0", "x1", "y1", "x2", "y2", "x", "y")
+    wrong = met.where(det > near).select("tri").union(close.mapInArrow(inside, "tri long")).distinct()
     good = maybe.join(wrong, "tri", "left_anti")
     parts = [good.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")) for a, b in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))]
     return done.where("v <> -1").select("u", "v").union(parts[0]).union(parts[1]).union(parts[2]).distinct()
