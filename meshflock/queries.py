@@ -367,7 +367,7 @@ def dbscan_full(spark, d):
 
 @query(f"{DBSCAN} SELECT id FROM dbs WHERE is_core")
 def dbscan_core_points(spark, d):
-    return spatial.dbscan(E(spark, d), EPS, MIN_PTS).where("is_core").select("id")
+    return spatial.core_points(E(spark, d), EPS, MIN_PTS)
 
 
 @query(f"WITH {PTS}, r AS (SELECT a.id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS k FROM pts a, pts b) SELECT round(quantile_cont(dist, 0.9), 9) AS eps FROM r WHERE k = {MIN_PTS}")
