@@ -144,28 +144,29 @@ def posting_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def bundles(reps: DataFrame) -> DataFrame:
-    """(bundle, docs, sigs): up to ``BUNDLE`` documents a row."""
+    """(bundle, docs, sizes, sigs): up to ``BUNDLE`` documents a row."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, made, docs, sigs = TaskContext.get().partitionId(), 0, [], []
+        part, made, docs, sizes, sigs = TaskContext.get().partitionId(), 0, [], [], []
 
         def row(n):
             nonlocal made
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([np.array(docs[:n], "<i8").tobytes()], pa.binary()), pa.array([b"".join(sigs[:n])], pa.binary())], names=["bundle", "docs", "sigs"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), *(pa.array([np.array(c[:n], "<i8").tobytes()], pa.binary()) for c in (docs, sizes)), pa.array([b"".join(sigs[:n])], pa.binary())], names=["bundle", "docs", "sizes", "sigs"])
 
         for b in batches:
             docs += b.column(0).to_pylist()
-            sigs += b.column(1).to_pylist()
+            sizes += b.column(1).to_pylist()
+            sigs += b.column(2).to_pylist()
             while len(docs) >= BUNDLE:
                 yield row(BUNDLE)
-                del docs[:BUNDLE], sigs[:BUNDLE]
+                del docs[:BUNDLE], sizes[:BUNDLE], sigs[:BUNDLE]
         if docs:
             yield row(len(docs))
 
-    return reps.select("doc_id", "sig").mapInArrow(run, "bundle long, docs binary, sigs binary")
+    return reps.select("doc_id", "n_shingles", "sig").mapInArrow(run, "bundle long, docs binary, sizes binary, sigs binary")
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -220,15 +221,15 @@ def list_lengths(bundled: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def prefixes(bundled: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
-    """(doc, keys): the shortest posting lists of every document that may have a partner."""
+    """(doc, size, keys): the shortest posting lists of every document that may have a partner."""
 
     def run(batches):
         for b in batches:
-            for docs, sigs, blocks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for docs, sizes, sigs, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 known, length = (np.concatenate(c) for c in zip(*map(_unpack, blocks), strict=True))
                 order = np.argsort(known)
                 known, length = known[order], length[order]
-                docs = np.frombuffer(docs, "<i8")
+                docs, sizes = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8")
                 keys = posting_keys(np.frombuffer(sigs.as_buffer(), np.uint32).reshape(-1, N_COORD))
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 there = known[at] == keys
@@ -239,17 +240,23 @@ def prefixes(bundled: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
                 take = m[may] - least + 1
                 flat = rank[np.arange(N_COORD)[None, :] < take[:, None]] & np.uint64((1 << 48) - 1)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs[may]), lists], names=["doc", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[may]), pa.array(sizes[may]), lists], names=["doc", "size", "keys"])
 
     got = lengths.groupBy("bundle").agg(F.collect_list("block").alias("blocks"))
-    return bundled.join(got, "bundle").select("docs", "sigs", "blocks").mapInArrow(run, "doc long, keys array<long>")
+    return bundled.join(got, "bundle").select("docs", "sizes", "sigs", "blocks").mapInArrow(run, "doc long, size long, keys array<long>")
 
 
-def posting_lists(posted: DataFrame) -> DataFrame:
-    """(key, doc, n): lists of two documents or more; of lists of the same documents one."""
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all"), F.sum(F.xxhash64(F.lit(1), "doc").cast("decimal(38,0)")).alias("also")).where("n > 1")
-    one = lists.groupBy("n", "all", "also").agg(F.min("key").alias("key")).select("key", "n")
-    return posted.join(one, "key")
+def _dealt(total, size, block: int, weight: int) -> list[Column]:
+    """The number of blocks of a list, and its first document."""
+    return [F.greatest(F.ceil(total / block), F.ceil(size / weight)).cast("int").alias("nb"), F.min("doc").alias("first")]
+
+
+def posting_lists(posted: DataFrame, block: int, weight: int) -> DataFrame:
+    """(key, doc, first, nb, mine): lists of two documents or more, with their first document,
+    number of blocks and each document's block; of lists of the same documents one."""
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), *_dealt(F.count("*"), F.sum("size"), block, weight), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("all"), F.sum(F.xxhash64(F.lit(1), "doc").cast("decimal(38,0)")).alias("also")).where("n > 1")
+    one = lists.groupBy("n", "all", "also").agg(F.min(F.struct("key", "first", "nb")).alias("one")).select("one.*")
+    return posted.drop("size").join(one, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), "nb").cast("int"))
 
 
 def spots(ids: np.ndarray) -> np.ndarray:
@@ -394,7 +401,7 @@ def merged(dealt: DataFrame, percent: int, least: int) -> DataFrame:
 
 def _blocks(lists: DataFrame, sets: DataFrame, block: int, weight: int) -> DataFrame:
     """Lists with their documents' sizes and sets, ``first`` document and number of blocks ``nb``."""
-    sizes = lists.join(sets.select("doc", "size"), "doc").groupBy("key").agg(F.min("doc").alias("first"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / weight)).cast("int").alias("nb"))
+    sizes = lists.join(sets.select("doc", "size"), "doc").groupBy("key").agg(*_dealt(F.count("*"), F.sum("size"), block, weight))
     return lists.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("doc"), "nb").cast("int"))
 
 
@@ -434,13 +441,12 @@ def group(docs: DataFrame, percent: int = 85, block: int = BLOCK, weight: int =
     lengths = materialize(list_lengths(bundled, max(16, -(-n // 8 * N_COORD // KEYS_PER_BUCKET))), "lengths")
     prefix = materialize(prefixes(bundled, lengths, least), "prefixes")
     discard(bundled)
-    posted = materialize(prefix.select(F.explode("keys").alias("key"), "doc").distinct(), "posted")
-    lists = materialize(posting_lists(posted), "lists")
+    # the sizes of a document with several texts add up
+    posted = materialize(prefix.select(F.explode("keys").alias("key"), "doc", "size").groupBy("key", "doc").agg(F.sum("size").alias("size")), "posted")
+    blocked = materialize(posting_lists(posted, block, weight), "blocked")
     discard(prefix, lengths, posted)
-    sets = materialize(full_sets(docs, lists), "sets")
-    blocked = materialize(_blocks(lists, sets, block, weight), "blocked")
+    sets = materialize(full_sets(docs, blocked), "sets")
     links = materialize(links_within(blocked, sets, percent, least), "links")
-    discard(lists)
     comp = materialize(components(links), "components")
     more = materialize(links_across(blocked, sets, comp, percent, least, block, weight), "links")
     discard(blocked, sets, comp)

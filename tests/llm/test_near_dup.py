@@ -113,3 +113,25 @@ def test_query(spark):
     n = {d: len(shingles(t)) for d, t in rows}
     assert all(r.n_shingles == n[r.doc_id] for r in out)
     assert sum(not r.kept for r in out) > 50
+
+
+def test_postings_are_joined_once(spark, monkeypatch):
+    """Lists are joined and written once, and a group twice as large gives twice the rows."""
+    written, write = [], nd.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        written.append((tag, out.count()) if "key" in out.columns else ("", 0))
+        return out
+
+    monkeypatch.setattr(nd, "materialize", counted)
+    rnd, rows = random.Random(3), []
+    for n in (150, 300):
+        written.clear()
+        hub = [f"w{i}" for i in range(200)]
+        texts = [" ".join(f"e{k}" if i == at else w for i, w in enumerate(hub)) for k in range(n) for at in [rnd.randrange(200)]]
+        out = nd.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r.component_id for r in out} == {0}
+        assert [t for t, _ in written if t not in ("", "posted")] == ["blocked"]
+        rows.append(sum(k for _, k in written))
+    assert 0 < rows[1] < 3 * rows[0], rows
