@@ -79,8 +79,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = materialize(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
     rates = mixing.mix(docs.select("doc_id", "text"), labels, mixing.TARGETS, mixing.BUDGET)
     times = rates.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = boxed(docs, F.col("doc_id").cast("long").alias("_id")).join(times, "_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+    # rows of ids that go or repeat are looked up; all others, most by far, pass where they are read
+    times = materialize(times.where("_copies <> 1"), "times")
+    changed = spark.sparkContext.broadcast(near_dup.spot_filter(times.select(F.col("_id").alias("doc"))))
+    rows = boxed(docs, F.col("doc_id").cast("long").alias("_id"))
+    rows = rows.withColumn("_look", near_dup.spotted(F.col("_id"), changed))
+    looked = rows.where("_look").join(times, "_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    some = looked.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return some.select("_doc").union(rows.where("not _look").select("_doc")).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

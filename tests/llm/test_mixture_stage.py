@@ -58,3 +58,18 @@ def test_sample_is_of_rows_that_exist(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(m, "fit_logistic", lambda flat, lengths, *a, **k: fitted.append(len(lengths)) or fit(flat, lengths, *a, **k))
     cp.mixture(spark, docs, str(tmp_path)).count()
     assert fitted == [160, 160]
+
+
+def test_rows_that_stay_once_are_not_looked_up(spark, monkeypatch):
+    """Only ids that go or repeat are joined with their texts; all rows come as often as their rates say."""
+    looked, rates, mix, spot = [], [], m.mix, cp.near_dup.spot_filter
+    monkeypatch.setattr(m, "mix", lambda *a: rates.append(mix(*a)) or rates[0])
+    monkeypatch.setattr(cp.near_dup, "spot_filter", lambda wanted: looked.append(wanted.count()) or spot(wanted))
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    docs = docs.union(docs.where("doc_id < 9")).union(docs.where("doc_id < 5").withColumn("doc_id", F.lit(None).cast("long")))
+    out = cp.mixture(spark, docs, D).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    times = rates[0].groupBy("doc_id").agg(F.max("copies").alias("c")).toPandas()
+    rows = docs.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    want = {d: c * rows[d] for d, c in zip(times.doc_id, times.c, strict=True) if d == d and c}
+    assert {d: n for d, n in out.items() if d == d} == want and sum(out.values()) - sum(want.values()) == docs.where("doc_id is null").count()
+    assert 0 < looked[0] < 0.5 * len(times)
