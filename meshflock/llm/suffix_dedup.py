@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshflock.llm.memory import batch_rows, give_back
+from meshflock.llm.memory import batch_rows, give_back, tidy
 from meshflock.runtime import materialize
 
 LENGTH = 50
@@ -171,8 +171,19 @@ def unpack_block(block: bytes):
     return np.cumsum(cols[0], dtype=np.uint64), cols[1], ids[cols[2].astype(np.int64)], cols[3].astype(np.int64), ids[cols[4].astype(np.int64)], cols[5].astype(np.int64)
 
 
+def bucket_limits(n_buckets: int) -> np.ndarray:
+    """Limits of ranges of 48-bit token hashes that hold anchors in equal numbers.
+
+    Anchors are the least of ``SPAN`` + 1 hashes, so small hashes are far more frequent: with w of
+    them, the share of anchors below x is 1 - (w + 1) / 2 * q ** w + (w - 1) / 2 * q ** (w + 1), q = 1 - x."""
+    w, x = SPAN + 1, np.linspace(0, 1, 1 << 18)
+    below = 1 - (w + 1) / 2 * (1 - x) ** w + (w - 1) / 2 * (1 - x) ** (w + 1)
+    return (np.interp(np.arange(1, n_buckets) / n_buckets, below, x) * float(1 << 48)).astype(np.uint64)
+
+
 def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(bucket, block): sorted anchors of every map task, dealt by ranges of the token hash."""
+    limits = bucket_limits(n_buckets)
 
     def flush(held, ids):
         token, text, ordinal = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -185,7 +196,7 @@ def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
         token, text = token >> np.uint64(16), text >> np.uint64(16)
         order, later, _ = settle(token, text, doc)
         token, text, doc, ordinal = token[order], text[order], doc[order], ordinal[order]
-        bucket = ((token >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
+        bucket = np.searchsorted(limits, token, side="right")
         none = np.zeros(0, np.int64)
         rows = []
         if later.any():  # settled here: they go back to their documents, spread by whose they are, and meet no bucket of their token
@@ -219,13 +230,12 @@ def blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, block binary")
 
 
-def _by_doc(doc: np.ndarray, ordinal: np.ndarray) -> dict[int, bytes]:
-    if not len(doc):
-        return {}
-    order = np.argsort(doc, kind="stable")
-    doc, ordinal = doc[order], ordinal[order].astype("<i4")
-    start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    return {int(doc[a]): ordinal[a:b].tobytes() for a, b in zip(start, [*start[1:], len(doc)], strict=True)}
+def _by_doc(ids: np.ndarray, doc: np.ndarray, ordinal: np.ndarray) -> pa.Array:
+    """The ordinals of each of the sorted ``ids``, four bytes each in one value; null without any."""
+    n = np.bincount(np.searchsorted(ids, doc), minlength=len(ids))
+    ends = np.concatenate([[0], np.cumsum(4 * n)]).astype("<i4")
+    data = ordinal[np.argsort(doc, kind="stable")].astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [pa.py_buffer(np.packbits(n > 0, bitorder="little")), pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def merge(block_rows: DataFrame) -> DataFrame:
@@ -237,12 +247,17 @@ def merge(block_rows: DataFrame) -> DataFrame:
         token, text, doc, ordinal, sure_doc, sure_ord = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
         order, later, mixed = settle(token, text, doc)
+        del token, text
         doc, ordinal = doc[order], ordinal[order]
         mixed &= ~later
-        sure = _by_doc(np.concatenate([doc[later], sure_doc]), np.concatenate([ordinal[later], sure_ord]))
-        left = _by_doc(doc[mixed], ordinal[mixed])
-        ids = sorted(sure.keys() | left.keys())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "sure": pa.array([sure.get(i) for i in ids], pa.binary()), "open": pa.array([left.get(i) for i in ids], pa.binary())})
+        sure_doc, sure_ord = np.concatenate([doc[later], sure_doc]), np.concatenate([ordinal[later], sure_ord])
+        doc, ordinal = doc[mixed], ordinal[mixed]
+        del order, later, mixed
+        ids = np.unique(np.concatenate([sure_doc, doc]))
+        out = pa.table({"doc_id": pa.array(ids, pa.int64()), "sure": _by_doc(ids, sure_doc, sure_ord), "open": _by_doc(ids, doc, ordinal)})
+        del sure_doc, sure_ord, doc, ordinal
+        give_back()
+        return out
 
     return block_rows.groupBy("bucket").applyInArrow(run, "doc_id long, sure binary, open binary")
 
@@ -254,14 +269,16 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([z.compress(r) for r in raw], pa.binary())],
-                names=["doc_id", "n_bytes", "sha", "z"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
+                raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([z.compress(r) for r in raw], pa.binary())],
+                    names=["doc_id", "n_bytes", "sha", "z"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, sha string, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, sha string, z binary")
 
 
 def _unzip(z: bytes) -> bytes:
@@ -293,7 +310,7 @@ def open_suffixes(texts: DataFrame, verdicts: DataFrame) -> DataFrame:
                 kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["token", "doc", "ordinal", "back_to", "back_from", "around"])
 
-    return texts.join(wanted, "doc_id").select("doc_id", "z", "open").mapInArrow(run, "token binary, doc long, ordinal int, back_to int, back_from int, around binary")
+    return texts.join(wanted, "doc_id").select("doc_id", "z", "open").mapInArrow(tidy(run), "token binary, doc long, ordinal int, back_to int, back_from int, around binary")
 
 
 def equal_strings(columns: list[np.ndarray]) -> np.ndarray:
@@ -379,7 +396,7 @@ def suffix_sort(suffixes: DataFrame, parts: int) -> DataFrame:
         if n:
             yield solve(held)
 
-    return suffixes.repartitionByRange(parts, "token").sortWithinPartitions("token").mapInArrow(run, "doc_id long, ordinal int, mask long")
+    return suffixes.repartitionByRange(parts, "token").sortWithinPartitions("token").mapInArrow(tidy(run), "doc_id long, ordinal int, mask long")
 
 
 def hot_windows(suffixes: DataFrame) -> DataFrame:
@@ -399,7 +416,7 @@ def hot_windows(suffixes: DataFrame) -> DataFrame:
                 kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["w", "doc_id", "ordinal", "x"])
 
-    windows = suffixes.mapInArrow(run, "w binary, doc_id long, ordinal int, x int")
+    windows = suffixes.mapInArrow(tidy(run), "w binary, doc_id long, ordinal int, x int")
     least = materialize(windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("w", "first"), "least")
     late = windows.join(least, "w").where(F.col("doc_id") > F.col("first"))
     return late.groupBy("doc_id", "ordinal").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("mask"))
@@ -446,7 +463,7 @@ def cut(texts: DataFrame, verdicts: DataFrame, masks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = texts.join(found, "doc_id", "left").select("doc_id", "n_bytes", "sha", F.when(F.col("sure").isNotNull(), F.col("z")).alias("z"), "sure", "windows")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

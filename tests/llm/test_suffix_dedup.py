@@ -74,3 +74,15 @@ def test_query(spark):
     out = QUERIES["op8_suffix_dedup"](spark, d).collect()
     check(rows, out)
     assert sum(r.n_removed for r in out) > 1000
+
+
+def test_buckets_hold_equal_numbers(spark):
+    """Anchors are small hashes: ranges of equal width would put a tenth of all in the first bucket."""
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choices("abcdefgh ", k=20_000))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    n = [0] * 64
+    for r in sd.blocks(df, 64).where("bucket < 64").collect():
+        n[r.bucket] += len(sd.unpack_block(bytes(r.block))[0])
+    assert sum(n) > 40_000 and max(n) < 1.3 * sum(n) / 64, n
+    assert (sd.bucket_limits(5000)[1:] > sd.bucket_limits(5000)[:-1]).all() and len(sd.bucket_limits(1)) == 0
