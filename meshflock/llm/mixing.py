@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import re
 import warnings
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +35,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshflock.llm.sampling import per_class
-from meshflock.llm.toxicity import fit as fit_logistic
-from meshflock.llm.toxicity import number
+from meshflock.llm.toxicity import number, numbers
+from meshflock.llm.toxicity import prepared as fit_logistic
 from meshflock.runtime import materialize
 
 CHUNK = 1 << 20
 LOWER, UPPER, OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W_]+")
+MARKS = ".,;:!?\"'()"
+BEGINNINGS = (5, 6, 7)
 
 
 def of_word(word: str) -> list[str]:
     """The word, its beginnings, and its shape: which kinds of characters in which order."""
-    low = word.lower().strip(".,;:!?\"'()")
+    low = word.lower().strip(MARKS)
     shape = LOWER.sub("a", UPPER.sub("A", word))
-    return [low, shape + "~", *(f"{low[:n]}*" for n in (5, 6, 7) if len(low) >= n)]
+    return [low, shape + "~", *(f"{low[:n]}*" for n in BEGINNINGS if len(low) >= n)]
+
+
+def distinct(found: Iterable[str], n: int) -> tuple[list[str], np.ndarray]:
+    """Distinct ones of ``n`` strings, and the place of each string among them."""
+    places: dict[str, int] = defaultdict(count().__next__)
+    at = np.fromiter(map(places.__getitem__, found), np.int64, n)
+    return list(places), at
+
+
+def of_words(words: list[str], values: Callable[[Iterable[str]], Iterable[int]]) -> np.ndarray:
+    """``values`` of the features of many words, a row for each kind and a column for each word;
+    -1 where a word is too short for a beginning. All words are one text to lower and to match:
+    no word holds a line feed."""
+    out = np.full((2 + len(BEGINNINGS), len(words)), -1, np.int64)
+    if not words:
+        return out
+    text = "\n".join(words)
+    low = [w.strip(MARKS) for w in text.lower().split("\n")]
+    out[0] = np.fromiter(values(low), np.int64, len(low))
+    shapes, at = distinct(LOWER.sub("a", UPPER.sub("A", text)).split("\n"), len(low))
+    out[1] = np.fromiter(values([s + "~" for s in shapes]), np.int64, len(shapes))[at]
+    longest = max(BEGINNINGS)
+    heads, at = distinct([w[:longest] for w in low], len(low))
+    sizes = np.fromiter(map(len, heads), np.int64, len(heads))
+    for k, n in enumerate(BEGINNINGS, 2):
+        row = np.full(len(heads), -1, np.int64)
+        row[sizes >= n] = np.fromiter(values([h[:n] + "*" for h in heads if len(h) >= n]), np.int64, (sizes >= n).sum())
+        out[k] = row[at]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], label: str = "domain", key: str = "doc_id", each: int = 2500) -> list[tuple[dict[int, float], float] | None]:
@@ -54,8 +87,13 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], label: str = "
     sample, shares = per_class(docs, rows, label, each, key)
 
     def run(batches):
+        words = Words(numbers, 300_000)
         for b in batches:
-            found = [np.array(sorted({number(f) for w in set((t or "").split()) for f in of_word(w)}), np.uint32).view(np.int32) for t in b.column(2).to_pylist()]
+            found = []
+            for _, _, rows in numbered(b.column(2).to_pylist(), words):
+                own, values = words.features(rows)
+                own, values = np.divmod(np.unique(own << 32 | values), 1 << 32)
+                found += np.split(values.astype(np.uint32).view(np.int32), np.cumsum(np.bincount(own, minlength=len(rows)))[:-1])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "label", "found"])
 
     got = sample.mapInArrow(run, "k string, label string, found array<int>").toArrow().sort_by([("k", "ascending"), ("label", "ascending")]).combine_chunks()
@@ -86,13 +124,14 @@ def fit_models(flat: np.ndarray, lengths: np.ndarray, names: np.ndarray, weights
     lengths = np.bincount(own, minlength=len(names))
     use = np.ones(len(names), bool)
 
-    def models(steps: int):
+    def prepare() -> list:
         w = weights[use] * use.sum() / max(weights[use].sum(), 1e-300)
         part = col[use[own]]
-        return [fit_logistic(part, lengths[use], (names[use] == d).astype(float), w, [], keep=3000, ridge=0.3, rounds=steps) if (names[use] == d).any() else None for d in domains]
+        return [fit_logistic(part, lengths[use], (names[use] == d).astype(float), w, [], keep=3000, ridge=0.3) if (names[use] == d).any() else None for d in domains]
 
+    fits = prepare()
     for _ in range(rounds):
-        place, by_domain, start = joined(models(20))
+        place, by_domain, start = joined([f and f(20) for f in fits])
         at = np.full(len(ids), -1)
         at[list(place)] = list(place.values())
         known = at[col] >= 0
@@ -102,8 +141,9 @@ def fit_models(flat: np.ndarray, lengths: np.ndarray, names: np.ndarray, weights
             sure |= (names == d) & ~(sure & (names == d)).any()
         if (sure == use).all():
             break
-        use = sure
-    return [m and ({int(ids[k]): w for k, w in m[0].items()}, m[1]) for m in models(60)]
+        use, fits = sure, None
+        fits = prepare()
+    return [m and ({int(ids[k]): w for k, w in m[0].items()}, m[1]) for m in (f and f(60) for f in fits)]
 
 
 def joined(models: list) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
@@ -123,38 +163,65 @@ def posterior(weights: np.ndarray, start: np.ndarray, own: np.ndarray, col: np.n
     return p / np.maximum(p.sum(1, keepdims=True), 1e-300)
 
 
-class Places(dict):
-    """Word to the places of its features that have a weight; ``limit`` words are remembered."""
-
-    def __init__(self, place: dict[int, int], limit: int):
-        self.place, self.limit = place, limit
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        hit = tuple(self.place[n] for n in map(number, of_word(word)) if n in self.place)
-        if len(self) < self.limit:
-            self[word] = hit
-        return hit
-
-
-def posteriors(docs: DataFrame, models: list, domains: list[str], remember: int = 300_000) -> DataFrame:
+class Words:
+    """Words in the order of their first use, with ``values`` of their features (``of_words``).
+    Beyond ``limit`` words they are forgotten, after the rows at hand."""
+
+    def __init__(self, values: Callable[[Iterable[str]], Iterable[int]], limit: int):
+        self.values, self.limit = values, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = defaultdict(count().__next__)
+        self.table = of_words([], self.values)
+
+    def numbered(self, text: str | None) -> tuple[int, np.ndarray]:
+        """How many words a text has, and the numbers of its distinct ones."""
+        words = text.split() if text else ()
+        found = set(words)
+        return len(words), np.fromiter(map(self.codes.__getitem__, found), np.int32, len(found))
+
+    def features(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and values of the features of all their words, -1 left out; a value may repeat."""
+        self.table = np.concatenate([self.table, of_words(list(islice(self.codes, self.table.shape[1], None)), self.values)], 1)
+        own, codes = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        found = [values[codes] for values in self.table]
+        kept = [f >= 0 for f in found]
+        out = np.concatenate([own[k] for k in kept]), np.concatenate([f[k] for f, k in zip(found, kept, strict=True)])
+        if len(self.codes) > self.limit:
+            self.forget()
+        return out
+
+
+def numbered(texts: list[str | None], words: Words, most: int = CHUNK) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+    """Place of the first text, and numbers of words (``Words.numbered``) of it and the next:
+    about ``most`` words and at most 1000 texts at a time. Texts are not cut."""
+    first, tokens, rows, size = 0, [], [], 0
+    for n, t in enumerate(texts, 1):
+        total, found = words.numbered(t)
+        tokens.append(total)
+        rows.append(found)
+        size += len(found)
+        if size >= most or len(rows) == 1000 or n == len(texts):
+            yield first, tokens, rows
+            first, tokens, rows, size = n, [], [], 0
+
+
+def posteriors(docs: DataFrame, models: list, domains: list[str], remember: int = 600_000) -> DataFrame:
     """doc_id, tokens and one column p_<domain> each."""
     place, weights, start = joined(models)
 
     def run(batches):
-        places = Places(place, remember)
-        look = places.__getitem__
+        words = Words(lambda found: map(place.get, numbers(found), repeat(-1)), remember)
         for b in batches:
-            tokens, flat, ends = [], [], []
-            for t in b.column(1).to_pylist():
-                words = t.split() if t else ()
-                tokens.append(len(words))
-                flat.extend(chain.from_iterable(map(look, set(words))))
-                ends.append(len(flat))
-            # every feature once a text, texts one after the other: sums do not depend on the order of a set
-            own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            own, col = np.divmod(np.unique(own * max(1, len(place)) + np.array(flat, np.int64)), max(1, len(place)))
-            p = posterior(weights, start, own, col, len(ends))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), *(pa.array(p[:, k].round(9)) for k in range(len(models)))], names=["doc_id", "tokens", *[f"p_{d}" for d in domains]])
+            for first, tokens, rows in numbered(b.column(1).to_pylist(), words):
+                own, col = words.features(rows)
+                # every feature once a text, texts one after the other: sums do not depend on the order of the words
+                has = np.zeros(len(rows) * len(place), bool)
+                has[own * len(place) + col] = True
+                own, col = np.divmod(np.flatnonzero(has), max(1, len(place)))
+                p = posterior(weights, start, own, col, len(rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), pa.array(tokens, pa.int64()), *(pa.array(p[:, k].round(9)) for k in range(len(models)))], names=["doc_id", "tokens", *[f"p_{d}" for d in domains]])
 
     schema = "doc_id long, tokens long, " + ", ".join(f"`p_{d}` double" for d in domains)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,10 @@ def number(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature)
 
 
+def numbers(features: Iterable[str]) -> Iterator[int]:
+    return map(xxhash.xxh32_intdigest, features)
+
+
 def of_word(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (5, 6, 7) if len(word) >= n)]
 
@@ -80,15 +85,28 @@ def counterfactuals(text: str) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     return out
 
 
-def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int], int]], keep: int = 4000, ridge: float = 1.0, fairness: float = 10.0, rounds: int = 60) -> tuple[dict[int, float], float]:
-    """Weights by hashed feature, and the intercept. ``flat`` has the features of all rows in
-    turn, ``lengths`` their numbers."""
+def unique(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features, and the place of each one among them; small numbers are not sorted."""
+    if not len(flat) or flat.min() < 0 or flat.max() >= 8 * len(flat):
+        return np.unique(flat, return_inverse=True)
+    there = np.bincount(flat) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[flat]
+
+
+def fit(*args, rounds: int = 60, **options) -> tuple[dict[int, float], float]:
+    """Weights by hashed feature, and the intercept, after ``rounds`` (see ``prepared``)."""
+    return prepared(*args, **options)(rounds)
+
+
+def prepared(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[list[int], list[int], int]], keep: int = 4000, ridge: float = 1.0, fairness: float = 10.0) -> Callable[[int], tuple[dict[int, float], float]]:
+    """The fit of rows whose features have been chosen, a function of the rounds. ``flat`` has
+    the features of all rows in turn, ``lengths`` their numbers."""
     total = max(weights.sum(), 1e-9)
     rate = float((weights * labels).sum() / total)
     if not 0 < rate < 1:
-        return {}, 12.0 if rate >= 1 else -12.0
+        return lambda rounds: ({}, 12.0 if rate >= 1 else -12.0)
     at = np.repeat(np.arange(len(lengths)), lengths)
-    ids, col = np.unique(flat, return_inverse=True)
+    ids, col = unique(flat)
     pos = np.bincount(col, labels[at], len(ids))
     seen = np.bincount(col, minlength=len(ids)).astype(float)
     share = labels.mean()
@@ -104,23 +122,27 @@ def fit(flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.n
     d_row = [(k, index[f], s) for k, (add, gone, _) in enumerate(pairs) for s, fs in ((1.0, add), (-1.0, gone)) for f in fs if f in index]
     pr, pc, ps = (np.array(x) for x in zip(*d_row, strict=True)) if d_row else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     times = np.array([n for _, _, n in pairs], float)
-    w, b = np.zeros(len(chosen)), float(np.log(rate / (1 - rate)))
-    # per-coordinate scaled gradient steps (Adam), fixed number, no randomness
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, 10 * rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(lengths)) + b)))
-        err = weights * (p - labels)
-        g = np.bincount(col, err[row], len(w)) + ridge * w
-        if len(pr):
-            change = times * np.bincount(pr, ps * w[pc], len(pairs))
-            g += fairness * np.bincount(pc, ps * change[pr], len(w))
-        gb = err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        lr = 0.1 if t <= 6 * rounds else 0.02
-        w -= lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        b -= lr * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return {f: float(w[k]) for f, k in index.items()}, float(b)
+
+    def steps(rounds: int) -> tuple[dict[int, float], float]:
+        w, b = np.zeros(len(chosen)), float(np.log(rate / (1 - rate)))
+        # per-coordinate scaled gradient steps (Adam), fixed number, no randomness
+        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+        for t in range(1, 10 * rounds + 1):
+            p = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(lengths)) + b)))
+            err = weights * (p - labels)
+            g = np.bincount(col, err[row], len(w)) + ridge * w
+            if len(pr):
+                change = times * np.bincount(pr, ps * w[pc], len(pairs))
+                g += fairness * np.bincount(pc, ps * change[pr], len(w))
+            gb = err.sum()
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+            lr = 0.1 if t <= 6 * rounds else 0.02
+            w -= lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            b -= lr * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+        return {f: float(w[k]) for f, k in index.items()}, float(b)
+
+    return steps
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", each: int = 4000, **options) -> tuple[dict[int, float], float]:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from meshflock.llm import mixing as m
 from meshflock.llm.queries import QUERIES
+from meshflock.llm.toxicity import unique
 
 D = "/root/testdata/sf0.01"
 
@@ -83,6 +84,57 @@ def test_posteriors_equal_a_plain_sum(spark):
             assert abs(r.p_a - p[0] / sum(p)) < 1e-8 and r.tokens == len((texts[r.doc_id] or "").split())
 
 
+ODD = ["\u03a3", "\u0391\u03a3", "\u0391\u03a3.", "\u03a3\u03a3\u0391", "\u0130stanbul,", "\u00df", "...", "'", "x", "ABCdef1!", "\u00c0\u00c9\u00f7\u00d7", "\u200bword", "\ufb01nal", "e\u0301t\u00e9", "\U0001f600\U00010400abc", "a.b.c.d"]
+
+
+def test_features_of_many_words_equal_those_of_each():
+    """Words are lowered and matched as one text: neighbours must not change a word's features."""
+    words = [*ODD, *(f"{a}{b}" for a in ODD for b in ODD), *(f"Wording{i}" for i in range(1000))]
+    assert all(w.split() == [w] for w in words)
+    valued = []
+
+    def values(features):
+        valued.extend(features := list(features))
+        return m.numbers(features)
+
+    got = m.of_words(words, values)
+    assert [sorted(x for x in column if x >= 0) for column in got.T.tolist()] == [sorted(map(m.number, m.of_word(w))) for w in words]
+    # beginnings and shapes that words share are valued once: a long word costs little more than its own value
+    assert len(valued) < 2.5 * len(words) < sum(len(m.of_word(w)) for w in words) / 1.5
+    assert m.of_words([], values).shape == got[:, :0].shape
+
+
+def test_words_are_forgotten_between_texts():
+    texts = ["One two two", None, "", "two three", "four"] * 700 + ["x " * 10 + " ".join(map(str, range(3000)))]
+    for limit, most in ((1, 1), (3, 50), (10_000, 1 << 20)):
+        words, seen = m.Words(m.numbers, limit), 0
+        for first, tokens, rows in m.numbered(texts, words, most):
+            assert first == seen and len(rows) <= 1000
+            own, values = words.features(rows)
+            for n, t in enumerate(texts[first : first + len(rows)]):
+                assert tokens[n] == len((t or "").split())
+                if n % 97 == 0 or first + n == len(texts) - 1:
+                    assert set(values[own == n].tolist()) == {m.number(f) for w in (t or "").split() for f in m.of_word(w)}
+            assert len(words.codes) <= limit
+            seen += len(rows)
+        assert seen == len(texts)
+
+
+def test_fit_chooses_features_once_for_the_same_rows(monkeypatch):
+    """No row is doubted: the short fit and the long one are of one choice of features."""
+    chosen, fit = [], m.fit_logistic
+    monkeypatch.setattr(m, "fit_logistic", lambda flat, lengths, *a, **k: chosen.append(len(lengths)) or fit(flat, lengths, *a, **k))
+    m.fit_models(np.array([1] * 40 + [2] * 40), np.ones(80, int), np.array(["a"] * 40 + ["b"] * 40, object), np.ones(80), ["a", "b"])
+    assert chosen == [80, 80]
+
+
+def test_distinct_features_without_a_sort():
+    rng = np.random.default_rng(4)
+    for flat in (rng.integers(0, 300, 1000).astype(np.int32), rng.integers(0, 1 << 32, 1000), np.zeros(0, np.int64), np.array([5, -1, 5])):
+        for got, want in zip(unique(flat), np.unique(flat, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_sample_is_bounded_for_repeated_ids(spark):
     """One id in 5,000 rows of either table, ties, a class with less rows than asked for."""
     docs = spark.createDataFrame([(7, f"t{i % 10}") for i in range(5000)] + [(i, "u") for i in range(100, 400)], "doc_id long, text string")
